@@ -118,11 +118,17 @@ def per_distinct(values: pd.Series, fn: Callable[[str], str]) -> pd.Series:
 
 
 def canonical(column: Column | str) -> Column:
-    return F.pandas_udf(lambda values: per_distinct(values, canonical_form), "string", F.PandasUDFType.SCALAR)(column)
+    def form(values: pd.Series) -> pd.Series:
+        return per_distinct(values, canonical_form)
+
+    return F.pandas_udf(form, "string")(column)
 
 
 def visual(column: Column | str) -> Column:
-    return F.pandas_udf(lambda values: per_distinct(values, visual_form), "string", F.PandasUDFType.SCALAR)(column)
+    def form(values: pd.Series) -> pd.Series:
+        return per_distinct(values, visual_form)
+
+    return F.pandas_udf(form, "string")(column)
 
 
 def normalise(df: DataFrame, column: str, out: str | None = None) -> DataFrame:

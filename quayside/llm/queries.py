@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("split", "canon")
+_MODULES = ("residue", "split", "canon", "encode", "mixing")
 
 
 def _all(attribute: str) -> dict:
