@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("residue", "split", "canon", "language", "encode", "mixing")
+_MODULES = ("residue", "split", "canon", "neardup", "language", "encode", "mixing")
 
 
 def _all(attribute: str) -> dict:
