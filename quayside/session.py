@@ -51,3 +51,10 @@ def scratch_path(spark: SparkSession, stem: str) -> str:
 def local_path(path: str) -> str:
     """The file-system path of a ``file:`` URL, for readers that map files into memory."""
     return path[5:].replace("//", "/", 1) if path.startswith("file:") else path
+
+
+def written(df: DataFrame, stem: str = "table") -> DataFrame:
+    """Cut lineage by a Parquet table in the shared folder; unlike a checkpoint it is encoded, and its size is known."""
+    path = scratch_path(df.sparkSession, stem)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
