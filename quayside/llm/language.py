@@ -252,13 +252,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ratio, w = model.value
         for b in batches:
-            b = b[~is_residue(b["text"], ratio)]
             rows = []
             for k, t, named, found in zip(b["raw_record_id"], b["text"], b["named"], segments(b["text"].tolist(), w)):
                 langs = {x[2] for x in found}
                 if langs and langs != {named} and (len(t.split()) >= 8 or (_KANA.search(t) and len(t) >= 20)):
-                    rows += [(k, x) for x in sorted(langs)]
-            yield pd.DataFrame(rows, columns=["raw_record_id", "lang"])
+                    rows.append((k, t, sorted(langs)))
+            out = pd.DataFrame(rows, columns=["raw_record_id", "text", "lang"])
+            # Only what is to be listed need be told from residue.
+            yield (out[~is_residue(out["text"], ratio)] if len(out) else out)[["raw_record_id", "lang"]].explode("lang")
 
     return rows.mapInPandas(find, "raw_record_id string, lang string").distinct()
 

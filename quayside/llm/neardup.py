@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm.canon import canonical_form
-from quayside.session import cut, table
+from quayside.session import cut, table, written
 
 SIMILARITY, LEAST_WORDS, MOST_WORDS = 0.8, 25, 300
 #: Trees, and the share that sets how many elements are selected at a branching: 1 / (LAMBDA * size) of each.
-TREES, LAMBDA = 10, 0.7
+TREES, LAMBDA = 8, 0.7
 #: Members to expect at the end of a path; actual members above which it branches on; levels; rounds of branching on.
-EXPECTED, CROWDED, LEVELS, ROUNDS = 30, 120, 8, 3
-SKETCH_BITS, SKETCH_LEAST = 128, 97
+EXPECTED, CROWDED, LEVELS, ROUNDS = 15, 300, 8, 3
+SKETCH_BITS, SKETCH_LEAST = 64, 46
 TABLE = 1 << 18
 
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -63,7 +63,7 @@ def elements(words: list[str], known: dict[str, int]) -> np.ndarray:
 
 
 def bags(df: DataFrame, key: str, text: str, least: int = LEAST_WORDS, most: int = MOST_WORDS) -> DataFrame:
-    """(item, cls, elements): texts of ``least`` to ``most`` words; ``cls`` is a digest of the bag."""
+    """(item, cls, c, elements): texts of ``least`` to ``most`` words; ``cls`` is a digest of the bag, ``c`` its first half."""
     kind = dict(df.dtypes)[key]
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,14 +74,15 @@ def bags(df: DataFrame, key: str, text: str, least: int = LEAST_WORDS, most: int
                 w = words_of(t)
                 if least <= len(w) <= most:
                     e = elements(w, known)
-                    rows.append((k, xxhash.xxh3_128_digest(e.tobytes()), e.view(np.int64)))
+                    digest = xxhash.xxh3_128_digest(e.tobytes())
+                    rows.append((k, digest, int.from_bytes(digest[:8], "little", signed=True), e.view(np.int64)))
             if len(known) > 400_000:
                 known.clear()
-            yield pd.DataFrame(rows, columns=["item", "cls", "elements"])
+            yield pd.DataFrame(rows, columns=["item", "cls", "c", "elements"])
 
     # A text of so many words has at least so many letters and blanks; shorter ones needn't reach Python.
     rows = df.select(F.col(key).alias("item"), F.col(text).alias("t")).filter(F.length("t") >= 2 * least - 1)
-    return rows.mapInPandas(make, f"item {kind}, cls binary, elements array<bigint>")
+    return rows.mapInPandas(make, f"item {kind}, cls binary, c bigint, elements array<bigint>")
 
 
 def frequencies(b: DataFrame) -> np.ndarray:
@@ -136,91 +137,94 @@ def paths(flat: np.ndarray, starts: np.ndarray, bits: np.ndarray, enough: float,
 
 
 def sketches(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """128 one-bit minwise hashes of each set, as two 64-bit numbers."""
-    n = len(starts) - 1
-    out = np.zeros((n, 2), np.uint64)
+    """64 one-bit minwise hashes of each set, as one number."""
+    out = np.zeros(len(starts) - 1, np.uint64)
     for i in range(SKETCH_BITS):
         low = np.minimum.reduceat(_mix(flat + _U((i + 1) * 0xA0761D6478BD642F & (1 << 64) - 1)), starts[:-1])
-        out[:, i // 64] |= ((low >> _U(17)) & _U(1)) << _U(i % 64)
+        out |= ((low >> _U(17)) & _U(1)) << _U(i)
     return out.view(np.int64)
 
 
+def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(lists).view(np.uint64), np.r_[0, np.cumsum([len(e) for e in lists])].astype(np.int64)
+
+
+_END = "path bigint, c bigint, size int, s bigint"
+
+
 def _ends(b: DataFrame, bits: np.ndarray, enough: float) -> DataFrame:
-    """(path, cls, size, s1, s2), one row per class and path."""
+    """(path, c, size, s), one row per class and path; ``c`` is the first half of a class's digest, ``s`` its sketch."""
     table_ = b.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for i in range(0, len(whole), 1500):
                 x = whole.iloc[i : i + 1500]
-                lists = x["elements"].to_list()
-                starts = np.r_[0, np.cumsum([len(e) for e in lists])].astype(np.int64)
-                flat = np.concatenate(lists).view(np.uint64)
+                flat, starts = _flat(x["elements"].to_list())
                 owner, path = paths(flat, starts, table_.value, enough)
-                s = sketches(flat, starts)
-                yield pd.DataFrame({"path": path.view(np.int64), "cls": x["cls"].to_numpy()[owner], "size": np.diff(starts)[owner].astype(np.int32), "s1": s[owner, 0], "s2": s[owner, 1]})
+                yield pd.DataFrame({"path": path.view(np.int64), "c": x["c"].to_numpy()[owner], "size": np.diff(starts)[owner].astype(np.int32), "s": sketches(flat, starts).view(np.int64)[owner]})
 
-    rows = b.select("cls", "elements").mapInPandas(run, "path bigint, cls binary, size int, s1 bigint, s2 bigint")
-    return rows.groupBy("path", "cls").agg(F.first("size").alias("size"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    rows = b.select("c", "elements").mapInPandas(run, _END)
+    return rows.groupBy("path", "c").agg(F.first("size").alias("size"), F.first("s").alias("s"))
 
 
-def _branch_on(crowded: DataFrame, classes: DataFrame) -> DataFrame:
+def _branch_on(crowded: DataFrame, b: DataFrame) -> DataFrame:
     """One more level of the paths of crowded ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for i in range(0, len(whole), 5000):
                 x = whole.iloc[i : i + 5000]
-                lists = x["elements"].to_list()
-                starts = np.r_[0, np.cumsum([len(e) for e in lists])].astype(np.int64)
-                which, path, _ = _branch(np.arange(len(x)), x["path"].to_numpy(np.int64).view(np.uint64), np.concatenate(lists).view(np.uint64), starts, LAMBDA * 0.85)
-                out = x.iloc[which][["cls", "size", "s1", "s2"]].copy()
+                flat, starts = _flat(x["elements"].to_list())
+                which, path, _ = _branch(np.arange(len(x)), x["path"].to_numpy(np.int64).view(np.uint64), flat, starts, LAMBDA * 0.85)
+                out = x.iloc[which][["c", "size", "s"]].copy()
                 out.insert(0, "path", path.view(np.int64))
                 yield out
 
-    return crowded.join(classes, "cls").mapInPandas(run, "path bigint, cls binary, size int, s1 bigint, s2 bigint")
+    # Each class once: its ends are gathered under one of its items.
+    once = b.groupBy("c").agg(F.min("item").alias("item"))
+    have = crowded.join(once, "c").join(b.select("item", "elements"), "item").select("path", "c", "size", "s", "elements")
+    return have.mapInPandas(run, _END).groupBy("path", "c").agg(F.first("size").alias("size"), F.first("s").alias("s"))
 
 
-def candidate_pairs(ends: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+def candidate_pairs(ends: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
     """Pairs of classes (a before b) that meet at the end of a path and agree in size and sketch."""
-    crowded_of = lambda k: k.groupBy("path").count().filter(F.col("count") > CROWDED)
     done, rest = [], ends
     for _ in range(ROUNDS):
-        crowded = cut(crowded_of(rest))
+        crowded = written(rest.groupBy("path").count().filter(F.col("count") > CROWDED).select("path"), "crowded")
         if crowded.isEmpty():
             done.append(rest.withColumn("block", F.lit(0)))
             rest = None
             break
         done.append(rest.join(crowded, "path", "left_anti").withColumn("block", F.lit(0)))
-        rest = cut(_branch_on(rest.join(crowded, "path", "left_semi"), classes))
+        rest = written(_branch_on(rest.join(crowded, "path", "left_semi"), b), "ends")
     if rest is not None:
         # What is still crowded is compared whole, in blocks: every pair of blocks of an end is one group.
         sized = rest.join(rest.groupBy("path").count(), "path").withColumn("blocks", F.ceil(F.col("count") / CROWDED).cast("int"))
-        own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+        own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("own")) * F.col("blocks") + F.greatest(o, F.col("own")))
         done.append(sized.withColumn("own", own).withColumn("block", F.explode(F.array_distinct(pair))).select(*ends.columns, "block"))
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
-    every = every.select("path", "block", "cls", "size", "s1", "s2")
-    left, right = (every.select("path", "block", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "size", "s1", "s2")]) for side in "ab")
-    alike = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b"))) <= SKETCH_BITS - SKETCH_LEAST
-    near = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")
-    met = left.join(right.hint("shuffle_hash"), ["path", "block"]).filter((F.col("cls_a") < F.col("cls_b")) & near & alike)
-    return met.select("cls_a", "cls_b").distinct()
+    # The same columns on both sides, so that one exchange serves both.
+    x, y = every.alias("x"), every.alias("y")
+    alike = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) <= SKETCH_BITS - SKETCH_LEAST
+    near = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")
+    here = (F.col("x.path") == F.col("y.path")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.c") < F.col("y.c"))
+    return x.join(y, here & near & alike).select(F.col("x.c").alias("c_a"), F.col("y.c").alias("c_b")).distinct()
 
 
 def similar_classes(b: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(cls_a, cls_b, similarity) of all pairs of different bags at or above the threshold; ``b`` as made by bags()."""
     n = max(2, b.count())
     bits = np.log2(np.maximum(1.0, n / frequencies(b))).astype(np.float32)
-    ends = _ends(b, bits, max(1.0, float(np.log2(n / EXPECTED))))
-    classes = b.select("cls", "elements").dropDuplicates(["cls"])
-    pairs = cut(candidate_pairs(cut(ends), classes, similarity))
-    wanted = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select("cls_b")).distinct()
-    sets = b.select("cls", "elements").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-    side = lambda s: sets.select(F.col("cls").alias(f"cls_{s}"), F.col("elements").alias(f"elements_{s}"))
-    both = pairs.join(side("a"), "cls_a").join(side("b"), "cls_b")
+    ends = written(_ends(b, bits, max(1.0, float(np.log2(n / EXPECTED)))), "ends")
+    pairs = written(candidate_pairs(ends, b, similarity), "pairs")
+    wanted = pairs.select(F.col("c_a").alias("c")).union(pairs.select("c_b")).distinct()
+    sets = b.select("c", "cls", "elements").join(wanted, "c", "left_semi").dropDuplicates(["c", "cls"])
+    side = lambda s: sets.select(F.col("c").alias(f"c_{s}"), F.col("cls").alias(f"cls_{s}"), F.col("elements").alias(f"elements_{s}"))
+    both = pairs.join(side("a"), "c_a").join(side("b"), "c_b")
     common = F.size(F.array_intersect("elements_a", "elements_b"))
     scored = both.select("cls_a", "cls_b", common.alias("c"), (F.size("elements_a") + F.size("elements_b")).alias("s"))
     # c / (s - c) >= similarity, without a division whose rounding could decide.
@@ -229,7 +233,7 @@ def similar_classes(b: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def similar_items(df: DataFrame, key: str = "id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(item_a, item_b) of all pairs of items at or above the threshold, exact copies included."""
-    b = cut(bags(df, key, text))
+    b = written(bags(df, key, text), "bags")
     links = similar_classes(b, similarity).select("cls_a", "cls_b")
     m = b.select("item", "cls")
     of = lambda s: m.select(F.col("item").alias(f"item_{s}"), F.col("cls").alias(f"cls_{s}"))
@@ -257,7 +261,7 @@ def components(links: DataFrame, a: str = "cls_a", b: str = "cls_b", rounds: int
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per item with a version or copy: its class, the group of all its versions, and links of its class."""
-    b = cut(bags(table(spark, sf_dir, "feedback_item"), "id", "text"))
+    b = written(bags(table(spark, sf_dir, "feedback_item"), "id", "text"), "bags")
     links = cut(similar_classes(b))
     degree = links.select(F.col("cls_a").alias("cls")).union(links.select("cls_b")).groupBy("cls").agg(F.count("*").alias("links"))
     root = components(links).withColumnRenamed("node", "cls")
