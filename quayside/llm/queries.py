@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("residue", "personal", "split", "canon", "neardup", "language", "encode", "mixing")
+_MODULES = ("residue", "personal", "split", "canon", "neardup", "language", "encode", "mixing", "reading")
 
 
 def _all(attribute: str) -> dict:
