@@ -1,0 +1,119 @@
+"""String functions over columns; native but for entity decoding and free relocation of quotes.
+
+Null stays null unless a function says otherwise.
+"""
+
+from __future__ import annotations
+
+import html
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Marks of the help forum's page around a thread; fixed values.
+CHROME = r"(?i)\b(?:help community|all replies|recommended answer|original poster|report abuse|sign in|mark as|community content may not be verified or up-to-date|learn more)\b|\bsearch \d+\b|\b\d{6,}\b|\b(?:true|false)\b"
+STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "have", "has", "how", "what", "when", "where", "why", "who", "can", "not", "but", "you", "your", "our", "their")
+
+
+def squeeze(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "), "^ | $", "")
+
+
+def unescape(c: Column) -> Column:
+    """HTML entities decoded; there is no native decoder."""
+
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: html.unescape(v) if isinstance(v, str) and "&" in v else v)
+
+    return F.pandas_udf(decode, "string")(c)
+
+
+def strip_markup(c: Column, entities: bool = True) -> Column:
+    """Entities decoded, tags as blanks, blanks squeezed."""
+    return squeeze(F.regexp_replace(F.regexp_replace(unescape(c) if entities else c, "<[^>]+>", " "), "&nbsp;", " "))
+
+
+def strip_chrome(text: Column, title: Column) -> Column:
+    """A help page's text from its title on, without the page's own words; the title where hardly anything is left."""
+    t, plain = strip_markup(title), strip_markup(text)
+    at = F.instr(F.lower(plain), F.lower(t))
+    body = squeeze(F.regexp_replace(F.when(at > 0, F.substr(plain, at)).otherwise(plain), CHROME, " "))
+    return F.when(F.length(body) < F.length(t), t).when(F.instr(F.lower(body), F.lower(t)) > 0, body).otherwise(F.concat_ws(" ", t, body))
+
+
+def fallback_snippet(c: Column, most: int = 180) -> Column:
+    t = F.trim(c)
+    return F.when(F.length(t) <= most, t).otherwise(F.regexp_replace(F.substring(t, 1, most), r"(?s) [^ ]*$", ""))
+
+
+def expand_prefix(c: Column, k: int) -> Column:
+    """The first ``k`` characters grown to the end of their sentence, within 200 more, and at most 600 in all."""
+    n = F.length(c)
+    o = F.regexp_instr(F.substr(c, F.lit(k + 1)), F.lit(r"[.!?\n]"))
+    end = F.when(n <= k, n).when(o.between(1, 201), o + k).when(n - k > 200, F.lit(k + 120)).otherwise(n)
+    t = F.regexp_replace(F.substr(c, F.lit(1), end), r"^\s+|\s+$", "")
+    return F.when(F.length(t) > 600, F.concat(F.rtrim(F.substring(t, 1, 597)), F.lit("..."))).otherwise(t)
+
+
+def expand_quote(text: str, quote: str) -> str:
+    """A quote anywhere in a text grown to the bounds of its sentence."""
+    at = text.find(quote) if quote else -1
+    if at < 0:
+        return quote[:600]
+    start = max((text.rfind(x, 0, at) for x in ".!?\n"), default=-1) + 1
+    if at - start > 200:
+        start = max(0, at - 120)
+    end = at + len(quote)
+    stop = re.compile(r"[.!?\n]").search(text, end)
+    end = stop.end() if stop and stop.end() - end <= 201 else min(len(text), end + 120) if len(text) - end > 200 else len(text)
+    out = text[start:end].strip()
+    return out if len(out) <= 600 else out[:597].rstrip() + "..."
+
+
+def tokens(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def overlap(query: str, c: Column, stop: tuple[str, ...] = (), longer_than: int = 0) -> Column:
+    """Share of the query's distinct tokens that a text has; 0 for an empty query."""
+    q = sorted({t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) > longer_than and t not in stop})
+    if not q:
+        return F.lit(0.0)
+    return F.coalesce(F.size(F.array_intersect(F.array(*map(F.lit, q)), tokens(c))) / F.lit(float(len(q))), F.lit(0.0))
+
+
+def suggestion_priority(c: Column, phrases: tuple[str, ...] = ("search", "filter", "date", "face", "album", "find", "please", "bring back", "sort")) -> Column:
+    low = F.lower(c)
+    return sum((F.coalesce(low.contains(p), F.lit(False)).cast("int") for p in phrases), F.lit(0)) - F.coalesce((F.length(c) > 900).cast("int"), F.lit(0))
+
+
+def find_json_object(c: Column) -> Column:
+    """The JSON object in a reply: in a fence, else from the first brace to the last; other roots give null."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    bare = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    return F.try_parse_json(F.when(F.length(fenced) > 0, fenced).otherwise(F.nullif(bare, F.lit(""))))
+
+
+def redact_keys(c: Column, keys: tuple[str, ...]) -> Column:
+    """A JSON text with the values of certain keys replaced, at any depth; what isn't JSON stays."""
+    import json
+
+    names = frozenset(keys)
+
+    def walk(x):
+        if isinstance(x, dict):
+            return {k: "[redacted]" if k.lower() in names else walk(v) for k, v in x.items()}
+        return [walk(v) for v in x] if isinstance(x, list) else x
+
+    def one(v):
+        try:
+            return json.dumps(walk(json.loads(v)), ensure_ascii=False, sort_keys=True)
+        except (TypeError, ValueError, RecursionError):
+            return v
+
+    def redact(values: pd.Series) -> pd.Series:
+        return values.map(one)
+
+    return F.pandas_udf(redact, "string")(c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("quayside.operators.timestamps",)
+_MODULES = ("quayside.operators.timestamps", "quayside.operators.labels", "quayside.operators.measures", "quayside.operators.strings", "quayside.operators.vectors", "quayside.operators.retrieval")
 
 
 def _all(attribute: str) -> dict:
