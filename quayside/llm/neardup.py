@@ -165,7 +165,7 @@ _END = "path bigint, c bigint, s1 bigint, s2 bigint"
 
 
 def _ends(b: DataFrame, bits: np.ndarray, enough: float) -> DataFrame:
-    """(path, c, s1, s2), one row per class and path; ``c`` is the first half of a class's digest, s1 and s2 its sketch."""
+    """(path, c, s1, s2), the ends of each class; ``c`` is the first half of a class's digest, s1 and s2 its sketch."""
     table_ = b.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,8 +177,17 @@ def _ends(b: DataFrame, bits: np.ndarray, enough: float) -> DataFrame:
                 s1, s2 = sketches(flat, starts)
                 yield pd.DataFrame({"path": path.view(np.int64), "c": x["c"].to_numpy()[owner], "s1": s1[owner], "s2": s2[owner]})
 
-    rows = b.select("c", "elements").mapInPandas(run, _END)
-    return rows.groupBy("path", "c").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    return b.select("c", "elements").mapInPandas(run, _END)
+
+
+#: Keys up to which a set of classes (8 bytes each) is sent to all executors; larger sets are joined by a shuffle.
+SENT = 200_000
+
+
+def _only(b: DataFrame, keys: DataFrame) -> DataFrame:
+    """The classes among ``keys``; a broadcast behind a check of its size."""
+    few = keys.limit(SENT + 1).count() <= SENT
+    return b.join(F.broadcast(keys) if few else keys, "c", "left_semi")
 
 
 def _branch_on(crowded: DataFrame, b: DataFrame) -> DataFrame:
@@ -194,10 +203,8 @@ def _branch_on(crowded: DataFrame, b: DataFrame) -> DataFrame:
                 out.insert(0, "path", path.view(np.int64))
                 yield out
 
-    # Each class once: its ends are gathered under one of its items.
-    once = b.groupBy("c").agg(F.min("item").alias("item"))
-    have = crowded.join(once, "c").join(b.select("item", "elements"), "item").select("path", "c", "s1", "s2", "elements")
-    return have.mapInPandas(run, _END).groupBy("path", "c").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    have = crowded.join(_only(b.select("c", "elements"), written(crowded.select("c").distinct(), "keys")), "c")
+    return have.select("path", "c", "s1", "s2", "elements").mapInPandas(run, _END)
 
 
 def candidate_pairs(ends: DataFrame, b: DataFrame) -> DataFrame:
@@ -229,12 +236,15 @@ def candidate_pairs(ends: DataFrame, b: DataFrame) -> DataFrame:
 
 def similar_classes(b: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(cls_a, cls_b, similarity) of all pairs of different bags at or above the threshold; ``b`` as made by bags()."""
-    n = max(2, b.count())
-    bits = np.log2(np.maximum(1.0, n / frequencies(b))).astype(np.float32)
-    ends = written(_ends(b, bits, max(1.0, float(np.log2(n / EXPECTED)))), "ends")
-    pairs = written(candidate_pairs(ends, b), "pairs")
-    wanted = pairs.select(F.col("c_a").alias("c")).union(pairs.select("c_b")).distinct()
-    sets = b.select("c", "cls", "elements").join(wanted, "c", "left_semi").dropDuplicates(["c", "cls"])
+    # One item stands for each class; joined by item, so that many copies of a bag are no hot key.
+    first = b.groupBy("cls").agg(F.min("item").alias("item")).select("item")
+    r = written(b.join(first, "item", "left_semi").select("c", "cls", "elements"), "classes")
+    n = max(2, r.count())
+    bits = np.log2(np.maximum(1.0, n / frequencies(r))).astype(np.float32)
+    ends = written(_ends(r, bits, max(1.0, float(np.log2(n / EXPECTED)))), "ends")
+    pairs = written(candidate_pairs(ends, r), "pairs")
+    wanted = written(pairs.select(F.col("c_a").alias("c")).union(pairs.select("c_b")).distinct(), "keys")
+    sets = written(_only(r, wanted), "sets").dropDuplicates(["cls"])
     side = lambda s: sets.select(F.col("c").alias(f"c_{s}"), F.col("cls").alias(f"cls_{s}"), F.col("elements").alias(f"elements_{s}"))
     both = pairs.join(side("a"), "c_a").join(side("b"), "c_b")
     common = F.size(F.array_intersect("elements_a", "elements_b"))
