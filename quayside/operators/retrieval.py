@@ -1 +1,162 @@
-QUERIES = {}
+"""Chunks, index and hybrid retrieval with cited evidence.
+
+The cascade is one plan: cosine over the index, the first ``fetch`` rows above a floor, filters after that limit (so
+that they can't change which rows were among the first), lexical boost, pool, impact, final order.  Only the final
+rows reach the driver.  The embedding of a query is made as that of the index is.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import os
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quayside.functions import rule_tables as T
+from quayside.functions.rules import hit, sql_hit
+from quayside.functions.text import expand_prefix, overlap
+from quayside.operators.labels import PLAIN_ITEMS
+from quayside.operators.vectors import dot, hashed_embedding
+from quayside.session import local_path, table
+
+DIM = 128
+CHUNK = 4000
+
+
+@dataclass(frozen=True)
+class Search:
+    """A request: what is asked, filters, and the sizes of the cascade."""
+
+    query: str
+    sources: tuple[str, ...] = ()
+    category: str | None = None
+    since: str | None = None
+    until: str | None = None
+    least_confidence: float | None = None
+    fetch: int = 60
+    pool: int = 30
+    top: int = 8
+    floor: float = 0.05
+    lexical_weight: float = 0.3
+
+
+def embed_query(text: str, dim: int = DIM) -> list[float]:
+    """The hashed embedding of one string, as :func:`hashed_embedding` makes it of a column."""
+    v = [0.0] * dim
+    for t in re.findall("[a-z0-9]+", text.lower()):
+        h = hashlib.sha256(t.encode()).digest()
+        v[(h[0] * 256 + h[1]) % dim] += 1.0 if h[2] % 2 == 0 else -1.0
+    n = sum(x * x for x in v) ** 0.5
+    return [x / n for x in v] if n else v
+
+
+def chunks(items: DataFrame, classification: DataFrame, severities: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One chunk per relevant item with an address: text, thread, up to six themes, confidence, quotes, worst severity.
+
+    Labels are rolled up by item before they meet the texts.
+    """
+    c = classification.select(F.col("feedback_item_id").alias("id"), F.col("taxonomy_node_id").alias("node"), "confidence", "snippets_json")
+    c = c.join(nodes.select(F.col("id").alias("node"), "name").dropDuplicates(["node"]), "node", "left").join(severities.select("node", "severity"), "node", "left")
+    quotes = F.coalesce(F.from_json("snippets_json", "array<string>"), F.array().cast("array<string>"))
+    rolled = c.groupBy("id").agg(
+        F.array_sort(F.collect_set(F.coalesce("name", "node"))).alias("themes"), F.array_sort(F.collect_set("node")).alias("categories"), F.round(F.avg("confidence"), 4).alias("confidence"),
+        F.slice(F.array_distinct(F.flatten(F.collect_list(quotes))), 1, 5).alias("quotes"), F.coalesce(F.max("severity"), F.lit(0.0)).alias("severity"),
+    )
+    f = items.filter("relevance_label = 'retrieval_related'").filter((F.trim("source_url") != "") & F.col("source_url").isNotNull())
+    x = f.select("id", "source", "source_url", "authored_at", "text", "thread_context").join(rolled, "id", "left")
+    thread = F.when(F.trim("thread_context") != "", F.concat(F.lit("\n\n--- thread context ---\n"), "thread_context")).otherwise("")
+    body = F.concat(F.coalesce("text", F.lit("")), F.coalesce(thread, F.lit("")))
+    head = F.concat(F.lit("Feedback on photo search. Themes: "), F.coalesce(F.array_join(F.slice("themes", 1, 6), ", "), F.lit("none")), F.lit("\n"))
+    impact = hit("text", T.FRUSTRATION).cast("double") + hit("text", T.EMOTION).cast("double")
+    return x.withColumn("body", body).withColumn("embedding_text", F.substring(F.concat(head, F.col("body")), 1, CHUNK)).withColumn("impact", F.greatest(F.coalesce("severity", F.lit(0.0)), impact))
+
+
+def build_index(chunked: DataFrame, path: str, dim: int = DIM) -> DataFrame:
+    """Embed the chunks and write them; the index carries how it was made."""
+    v = hashed_embedding(chunked, "id", "embedding_text", dim)
+    out = chunked.join(v, "id").withColumns({"provider": F.lit("hashing"), "dim": F.lit(dim)})
+    out.write.mode("errorifexists").parquet(path)
+    return chunked.sparkSession.read.parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    if "://" not in path and not os.path.exists(local_path(path)):
+        raise FileNotFoundError(f"no index at {path}; build it first")
+    return spark.read.parquet(path)
+
+
+def retrieve(index: DataFrame, s: Search) -> DataFrame:
+    """The hits of a request, best first: (id, source, score, relevance, quote, source_url)."""
+    q: Column = F.array(*[F.lit(x) for x in embed_query(s.query)])
+    x = index.withColumn("cos", F.round(dot(F.col("vector"), q), 9)).filter(F.col("cos") >= s.floor).orderBy(F.desc("cos"), "id").limit(s.fetch)
+    if s.sources:
+        x = x.filter(F.col("source").isin(*s.sources))
+    if s.category:
+        x = x.filter(F.array_contains("categories", s.category))
+    if s.least_confidence is not None:
+        x = x.filter(F.col("confidence") >= s.least_confidence)
+    for bound, test in ((s.since, F.col("authored_at") >= (s.since or "")), (s.until, F.col("authored_at") <= (s.until or ""))):
+        if bound:
+            x = x.filter(F.col("authored_at").isNull() | test)
+    x = x.withColumn("relevance", F.col("cos") + s.lexical_weight * overlap(s.query, F.col("body"))).orderBy(F.desc("relevance"), "id").limit(s.pool)
+    x = x.withColumn("score", F.round(F.col("relevance") * (1 + 0.15 * F.col("impact")), 4)).orderBy(F.desc("score"), "id").limit(s.top)
+    quote = F.coalesce(F.get(F.filter("quotes", lambda c: F.contains(F.col("body"), c)), F.lit(0)), expand_prefix(F.col("body"), 80))
+    return x.select("id", "source", "score", F.round("relevance", 4).alias("relevance"), quote.alias("quote"), "source_url")
+
+
+OUT_OF_SCOPE = r"\b(train(?:ing)?\s+(?:the\s+)?model|fine[- ]?tune|write\s+(?:a\s+)?python|python\s+scraper|what\s+is\s+rag\b|capital\s+of\s+france|who\s+won\s+the\s+world\s+cup)\b"
+RETRIEVAL = r"\b(find|search|locate|look(?:ing)?\s+for|can't\s+find|cannot\s+find|couldn't\s+find|old\s+pictures?|old\s+photos?|screenshot|metadata|people|face|album|remember\s+when|workaround|date|location|place|years?\s+ago|abandon|gave\s+up|scroll)\b"
+REVIEW, SUBJECT = r"\b(pain\s+points?|sentiment|themes?|frustrations?|complaints?|key\s+findings?|what\s+are|how\s+(?:is|are|do)\s+users?|overall|user\s+feedback|evidence)\b", r"\b(search|photos?|retrieval|feedback|users?)\b"
+STORAGE, FINDING = r"\b(backup|sync|storage|quota|billing|subscription|payment|upload)\b", r"\b(find|search|locate|missing\s+photo|can't\s+find|cannot\s+find)\b"
+
+
+def in_scope(query: str) -> bool:
+    """Whether a question is about finding things at all; asked before an index is opened."""
+    has = lambda p: re.search(p, query, re.I) is not None
+    if not query.strip() or has(OUT_OF_SCOPE):
+        return False
+    return (has(RETRIEVAL) or (has(REVIEW) and has(SUBJECT))) and not (has(STORAGE) and not has(FINDING))
+
+
+def scope_column(c: Column) -> Column:
+    """The same test over a column of questions."""
+    return F.coalesce((F.trim(c) != "") & ~hit(c, OUT_OF_SCOPE) & (hit(c, RETRIEVAL) | (hit(c, REVIEW) & hit(c, SUBJECT))) & ~(hit(c, STORAGE) & ~hit(c, FINDING)), F.lit(False))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.operators.measures import category_scores
+
+    t = lambda n: table(spark, sf_dir, n)
+    return chunks(t("feedback_item"), t("classification"), category_scores(spark, sf_dir), t("taxonomy_node"))
+
+
+def chunk_rollup(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("id", F.array_join("categories", ",").alias("categories"), "confidence", F.length("body").cast("bigint").alias("chars"), "impact")
+
+
+def query_scope(spark, sf_dir):
+    return table(spark, sf_dir, "feedback_item").groupBy(scope_column(F.col("text")).alias("in_scope")).agg(F.count("*").alias("n"))
+
+
+def hybrid_search(spark, sf_dir):
+    """A whole request over an index made in memory."""
+    c = _chunks(spark, sf_dir)
+    return retrieve(c.join(hashed_embedding(c, "id", "embedding_text"), "id"), Search("the search bar shows random pictures", fetch=200, top=20))
+
+
+def evidence_by_kind(spark, sf_dir):
+    """Items behind each shown number: as many rows as the number says."""
+    f = table(spark, sf_dir, "feedback_item").select("id", "source", "relevance_label", "text")
+    kinds = [("relevant", F.col("relevance_label") == "retrieval_related"), ("reddit", F.col("source") == "reddit"), ("workaround", hit("text", r"\bworkaround\b")), ("suggestion", hit("text", T.SUGGESTION) & hit("text", T.SEARCHISH))]
+    x = f.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds]))).alias("kind"))
+    return x.select("kind", "id")
+
+
+QUERIES = {f.__name__: f for f in (chunk_rollup, query_scope, hybrid_search, evidence_by_kind)}
+ORACLES = {
+    "query_scope": f"select coalesce(trim(text, ' ') <> '' and not {sql_hit('text', OUT_OF_SCOPE)} and ({sql_hit('text', RETRIEVAL)} or ({sql_hit('text', REVIEW)} and {sql_hit('text', SUBJECT)})) and not ({sql_hit('text', STORAGE)} and not {sql_hit('text', FINDING)}), false) as in_scope, count(*) as n from {PLAIN_ITEMS} f group by 1",
+    "evidence_by_kind": f"with f as (select * from {PLAIN_ITEMS} x) select 'relevant' as kind, id from f where relevance_label = 'retrieval_related' union all select 'reddit', id from f where source = 'reddit' union all select 'workaround', id from f where {sql_hit('text', chr(92) + 'bworkaround' + chr(92) + 'b')} union all select 'suggestion', id from f where {sql_hit('text', T.SUGGESTION)} and {sql_hit('text', T.SEARCHISH)}",
+}
