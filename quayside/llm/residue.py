@@ -27,7 +27,7 @@ WINDOW = 11
 #: Share of the decided letters that residue must cover, and the longest run of prose letters that may be left.
 COVERAGE, PROSE_RUN = 0.5, 14
 #: Letters that residue must cover at least; an unfilled place counts as ten.
-LEAST_LETTERS = 10
+LEAST_LETTERS = 8
 _VAR, _NONCE, _TAG = "", "", ""
 
 #: Texts to fit the model of residue; a parameter of :func:`fit_residue`. ``{v}`` stands for an unfilled place.
@@ -49,7 +49,8 @@ texto de ejemplo, reemplazar antes de publicar. texto de relleno. escriba aquí
 texto de exemplo, substituir antes de publicar. seu texto aqui. conteúdo de teste.
 testo di esempio, da sostituire. testo segnaposto. inserire qui il testo. voorbeeldtekst, vervangen. plaats hier uw tekst. opvultekst.
 пример текста, заменить. текст-заполнитель. здесь будет текст. これはダミーテキストです。ここに本文が入ります。サンプルテキスト。"""
-NOTICES = """please enable javascript to view this content. you need to enable javascript to run this app. javascript is required. javascript is disabled in your browser. turn it on and reload. please turn on javascript and refresh the page.
+NOTICES = """<html><head><title></title></head><body><h1></h1><p></p></body></html> <html><body><h1>not found</h1></body></html>
+please enable javascript to view this content. you need to enable javascript to run this app. javascript is required. javascript is disabled in your browser. turn it on and reload. please turn on javascript and refresh the page.
 this site requires scripts. your browser does not run them, so reviews cannot be shown. scripts blocked. to read this thread, allow scripting and cookies, then refresh. your browser is not supported. switch scripting on to load replies. enable cookies to continue. this page needs scripting.
 bitte aktivieren sie javascript, um die bewertungen zu sehen. diese seite benötigt javascript. javascript ist deaktiviert. ihr browser wird nicht unterstützt.
 veuillez activer javascript pour afficher cette page. javascript est désactivé dans votre navigateur. votre navigateur n'est pas pris en charge.
@@ -136,7 +137,7 @@ def fit_residue(prose: np.ndarray, seeds: str = f"{FILLER}\n{NOTICES}\n{TEMPLATE
     return np.clip(np.log((p + floor) / (q + floor)), -4, 4).astype(np.float32)
 
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ONE_WORD = re.compile(r"\s*[^\W\d_]{1,20}[.!?\s]*")
 
 
 def coverage(texts, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +156,7 @@ def coverage(texts, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     low, high = np.maximum(at - half, first), np.minimum(at + half + 2, last)
     mean = (total[np.maximum(high, low)] - total[low]) / np.maximum(1, high - low)
     letter = ((c > 64) & (c != ord("_")) & ~((c >= 91) & (c <= 96)) & ~((c >= 123) & (c <= 191)) & ~((c >= 0x2000) & (c <= 0x2BFF)) & ~((c >= 0x3000) & (c <= 0x303F)) & ~((c >= 0xFE00) & (c <= 0xFE0F)) & (c < 0x1F000)) | (c == 0xE000)
-    letter &= (c != 0xE001) & (c != 0xE002)
+    letter = (letter & (c != 0xE001)) | (c == 0xE002)
     weight = letter + 9 * (c == 0xE000)
     pos, neg = (mean > 0.15) & letter, (mean < -0.15) & letter
     by = lambda m: np.add.reduceat((m * weight).astype(np.int64), ends[:-1])[:n] if n else np.zeros(0, np.int64)
@@ -167,9 +168,12 @@ def coverage(texts, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return p / np.maximum(1, p + q), run, p
 
 
-def is_residue(texts, ratio: np.ndarray) -> np.ndarray:
+def is_residue(texts: pd.Series, ratio: np.ndarray) -> np.ndarray:
     share, run, letters = coverage(texts, ratio)
-    return (share >= COVERAGE) & (run <= PROSE_RUN) & (letters >= LEAST_LETTERS)
+    found = (share >= COVERAGE) & (run <= PROSE_RUN) & (letters >= LEAST_LETTERS)
+    for i in np.flatnonzero(found):  # a lone word is merely short
+        found[i] = not _ONE_WORD.fullmatch(texts.iloc[i])
+    return found
 
 
 def residue_model(items: DataFrame, column: str = "text") -> np.ndarray:
