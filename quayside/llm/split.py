@@ -114,3 +114,6 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
+ORACLES = {
+    "p3_found": f"select distinct raw_record_id, 'text' as field_name from collected_item where length(text) > {LIMIT} union select distinct raw_record_id, 'thread_context' from collected_item where length(thread_context) > {LIMIT}",
+}
