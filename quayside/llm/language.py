@@ -85,7 +85,9 @@ def ngrams(cleaned: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x9E3779B97F4A7C15)
         parts.append((owner[: len(h)][~crosses].astype(np.int64) << 15) | (h[~crosses] >> np.uint64(49)).astype(np.int64))
-    both = np.unique(np.concatenate(parts))
+    both = np.concatenate(parts)
+    both.sort()
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
     return both >> 15, both & (BUCKETS - 1)
 
 
