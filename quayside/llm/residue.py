@@ -97,10 +97,10 @@ def _signs(s: str) -> np.ndarray:
 
 
 def _trigrams(c: np.ndarray) -> np.ndarray:
-    """The bucket of the trigram that ends at each position; the first two positions hold what leads up to them."""
+    """The bucket of the trigram that ends at each position; before the start of a text there are only signs of a start."""
     h = c.astype(np.uint64) * np.uint64(0x9E3779B1)
     h[1:] += c[:-1].astype(np.uint64) * np.uint64(0x85EBCA6B)
-    h[2:] += c[:-2].astype(np.uint64) * np.uint64(0xC2B2AE35)
+    h[2:] += np.where(c[1:-1] == 0, 0, c[:-2]).astype(np.uint64) * np.uint64(0xC2B2AE35)  # not across the start of a text
     h ^= h >> np.uint64(15)
     h *= np.uint64(0x2545F491)
     return ((h >> np.uint64(13)) % np.uint64(BUCKETS)).astype(np.int64)
