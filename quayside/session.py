@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the workers this package, wherever they and the caller's working folder are; once per context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_quayside_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="quayside-code-"), "quayside")
+        sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+        sc._quayside_shipped = True
+    return spark
+
+
 def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
