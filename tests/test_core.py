@@ -227,3 +227,35 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.select("source", "native_id").distinct().count() == got.count()
+
+
+def _fake():
+    seen = {}
+
+    def client(prompts):
+        out = []
+        for p in prompts:
+            seen[p] = seen.get(p, 0) + 1
+            if "never" in p:
+                out.append("no json")
+            elif "second" in p and seen[p] == 1:
+                out.append("{broken")
+            else:
+                out.append('```json\n{"labels": ["a", "zz", "a"], "confidence": 1.5, "rationale": "", "snippets": ["text", "absent"]}\n```')
+        return out
+
+    return client
+
+
+def test_model_labels(spark):
+    from quayside.operators import models
+
+    items = spark.createDataFrame([("1", "text one"), ("2", "second text"), ("3", "never text"), ("4", "done text"), ("5", None)], "id string, text string")
+    done = spark.createDataFrame([("4", "ok"), ("1", "failed")], "id string, status string")
+    got = {r["id"]: r for r in models.classify(items, _fake, "Label: {{text}}", ["a", "b"], done=done).collect()}
+    assert set(got) == {"1", "2", "3", "5"} and got["3"]["status"] == "unclassified" and got["3"]["labels"] == []
+    assert got["1"]["labels"] == ["a"] and got["1"]["confidence"] == 0.4 and got["1"]["snippets"] == ["text"] and got["2"]["status"] == "ok"
+    tagged = items.withColumn("labels", F.array(F.lit("b")))
+    merged = {r["id"]: (r["labels"], r["label_source"]) for r in models.merge_second_pass(tagged, models.classify(items, _fake, "{{text}}", ["a"])).collect()}
+    assert merged["3"] == (["b"], "rules") and merged["1"] == (["a"], "model")
+    assert models.cited({"citations": [{"id": 1, "quote": "x y"}, {"id": 1, "quote": "z"}]}, {"1": "w x y"}) == [{"id": 1, "quote": "x y"}]
