@@ -27,10 +27,10 @@ def hashed_components(df: DataFrame, key: str, text: str, dim: int = 128) -> Dat
 
 def hashed_embedding(df: DataFrame, key: str, text: str, dim: int = 128) -> DataFrame:
     """(key, vector) of length 1; texts without tokens get no row."""
-    g = hashed_components(df, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))  # at most ``dim`` entries
-    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double"))
-    norm = F.sqrt(F.aggregate("m2", F.lit(0.0), lambda a, x: a + x * x))
-    return g.withColumn("m2", v).select(key, F.transform("m2", lambda x: x / norm).alias("vector"))
+    w = F.col("w").cast("double")
+    # The norm is an aggregate of its own, so that it isn't evaluated again for every element.
+    g = hashed_components(df, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"), F.sqrt(F.sum(w * w)).alias("norm"))  # at most ``dim`` entries
+    return g.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double") / F.col("norm")).alias("vector"))
 
 
 def dot(a: Column, b: Column) -> Column:
