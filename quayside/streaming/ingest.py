@@ -1,6 +1,6 @@
 """Continuous collection: raw records as a stream of files, kept once per (source, native_id).
 
-An extension: the reference collects in batches.  Times without zone or in several notations are normalised in each
+Times without zone or in several notations are normalised in each
 batch, where the candidate sets of that batch fit the mixture of formats.
 """
 
