@@ -1,9 +1,10 @@
 """Template residue, filler, error pages and script notices told from real text (problem 1).
 
 Two character n-gram models are compared along each text: one of residue, fitted to the seeds below (filler, error
-pages and blocking pages, notices about scripts, templates), one of natural prose, counted over all texts of the
-corpus.  Windows of the log-likelihood ratio localise residue; a text is excluded when residue covers it.  A short
-exact check follows: what isn't covered must not hold a run of prose.
+pages and blocking pages, notices about scripts, templates), one of natural prose, counted over the texts of the
+corpus; a text that is copied often (numbers, nonces and case aside) weighs little more than one, else it became prose.
+Windows of the log-likelihood ratio localise residue; a text is excluded when residue covers it.  A short exact check
+follows: what isn't covered must not hold a run of prose.
 
 Cases: null, blank, emoji-only and merely short texts aren't residue; texts that report or quote such a message are
 covered only in part and stay; letter case and a wrapping of mark-up don't matter; whole texts are scored, whatever
@@ -13,6 +14,7 @@ their length; repeated rows are scored alike; an empty table gives no rows; `has
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,19 +113,30 @@ def _join(texts) -> str:
 
 
 def count_prose(texts: DataFrame) -> np.ndarray:
-    """Trigram counts over all texts: one array per partition, summed by bucket; ``BUCKETS`` numbers reach the driver."""
+    """Trigram counts over the simplified texts, where a text with n copies weighs 1 + log2(n).
+
+    So copies don't turn residue into prose, while prose that is repeated remains prose.  One array per partition, summed
+    by bucket; ``BUCKETS`` numbers reach the driver.
+    """
+
+    def simplify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            by = Counter(_simplify(_join(b.iloc[:, 0])).split("\x00")[1:-1])
+            yield pd.DataFrame({"s": list(by), "n": list(by.values())})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS)
         for b in batches:
-            c = _signs(_simplify(_join(b.iloc[:, 0])))
-            total += np.bincount(_trigrams(c)[c != 0], minlength=BUCKETS)
+            c = _signs(_join(b["s"]))
+            weight = np.r_[1 + np.log2(b["n"].to_numpy(np.float64)), 0][np.cumsum(c == 0) - 1]
+            total += np.bincount(_trigrams(c)[c != 0], weights=weight[c != 0], minlength=BUCKETS)
         k = np.flatnonzero(total)
         yield pd.DataFrame({"k": k.astype(np.int32), "n": total[k]})
 
-    rows = texts.mapInPandas(count, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows["k"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    copies = texts.mapInPandas(simplify, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+    rows = copies.mapInPandas(count, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BUCKETS)
+    out[rows["k"].to_numpy(np.int64)] = rows["n"].to_numpy()
     return out
 
 

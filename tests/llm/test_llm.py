@@ -31,6 +31,14 @@ def test_residue(spark):
     assert residue.flag_residue(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", ["Error 404: page not found.", "Please enable JavaScript to view this content.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."])
+def test_residue_copied_to_a_third_of_rows(spark, page):
+    texts = [r["text"] for r in table(spark, SMALL, "collected_item").filter("text is not null").select("text").collect()]
+    copies = [page.replace("404", str(400 + i % 9)) for i in range(len(texts) // 2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + copies)], "id int, text string")
+    assert residue.flag_residue(df).filter(F.col("id") >= len(texts)).filter("is_residue").count() == len(copies)
+
+
 # -- 2 personal --------------------------------------------------------------------------------------------------------
 
 HARMLESS = "Version 7.44.1427 of Album Studio, ticket 4471-3088, file IMG_2024664_1180.jpg, 22,355 pictures in Stederk-98 Nialat and @lumen_help on the Vrashux T739."
