@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 from quayside.session import table, written
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
-#: A term reveals a kind if this share of its occurrences are seeds and it is a seed so often; with PMI as below.
+#: A term reveals a kind if this share of its occurrences, or of its distinct contexts, are seeds and it is a seed so
+#: often; with PMI as below.
 SHARE, SEEDS, BITS = 0.12, 2, 3.0
+#: Letters before and after a term that make its context.
+AROUND = 44
 TABLE_BITS = 22
 
 _AT = r"(?:@|\s?[\[({<]\s?(?:at|ät|arroba|arobase|chiocciola|a)\s?[\])}>]\s?)"
@@ -107,20 +110,23 @@ def numbers(text: str) -> Iterator[tuple[int, str]]:
             yield m.start(), g
 
 
-def _observe(text: str, seen: Counter, seeds: Counter) -> None:
-    """Count the terms of a text, and those of them that stand in an unmistakable context."""
+def _observe(text: str, seen: Counter) -> None:
+    """Count the terms of a text by (family, term, context, kind); the kind is that of a seed, or none.
+
+    The context is a hash of the term and what stands around it, alike in copies of a text.
+    """
     for m in NAME.finditer(text):
-        term = "person_name", m.group(1)
-        seen[term] += 1
-        if _cued(text, m.start()) and not _CODE.match(text, NAME_AT.match(text, m.start()).end()):
-            seeds[term] += 1
+        at = m.start()
+        cued = _cued(text, at) and not _CODE.match(text, NAME_AT.match(text, at).end())
+        seen["person_name", m.group(1), _context(text, at, m.end(1)), "person_name" if cued else ""] += 1
     for at, g in numbers(text):
-        before, s = text[max(0, at - 44) : at], shape(g)
-        seen["number", s] += 1
-        if _ID_CUE.search(before):
-            seeds["id_number", s] += 1
-        elif _phone_form(g) or _PHONE_CUE.search(before):
-            seeds["phone", s] += 1
+        before = text[max(0, at - AROUND) : at]
+        kind = "id_number" if _ID_CUE.search(before) else "phone" if _phone_form(g) or _PHONE_CUE.search(before) else ""
+        seen["number", shape(g), _context(text, at, at + len(g)), kind] += 1
+
+
+def _context(text: str, start: int, end: int) -> int:
+    return xxhash.xxh3_64_intdigest(text[max(0, start - AROUND) : end + AROUND]) - (1 << 63)
 
 
 def _bucket(kind: str, term: str) -> int:
@@ -133,23 +139,22 @@ def disclosure(df: DataFrame, fields: list[str]) -> np.ndarray:
     def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen: Counter = Counter()
-            seeds: Counter = Counter()
             for f in fields:
                 for t in b[f]:
                     if t:
-                        _observe(t, seen, seeds)
-            rows = [("seen", k, t, n) for (k, t), n in seen.items()] + [("seed", k, t, n) for (k, t), n in seeds.items()]
-            yield pd.DataFrame(rows, columns=["what", "kind", "term", "n"])
-
-    family = F.when(F.col("kind") == "person_name", "person_name").otherwise("number")
-    rows = df.select(*fields).mapInPandas(observe, "what string, kind string, term string, n bigint")
-    by = rows.groupBy(family.alias("family"), "term").agg(
-        F.sum(F.when(F.col("what") == "seen", F.col("n"))).alias("seen"),
-        *[F.sum(F.when((F.col("what") == "seed") & (F.col("kind") == k), F.col("n")).otherwise(0)).alias(k) for k in ("person_name", "id_number", "phone")],
+                        _observe(t, seen)
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["family", "term", "context", "kind", "n"])
+
+    kinds_ = ("person_name", "id_number", "phone")
+    rows = df.select(*fields).mapInPandas(observe, "family string, term string, context bigint, kind string, n bigint")
+    contexts = rows.groupBy("family", "term", "context").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds_])
+    by = contexts.groupBy("family", "term").agg(
+        F.sum("n").alias("seen"), F.count("*").alias("contexts"),
+        *[F.sum(k).alias(k) for k in kinds_], *[F.count_if(F.col(k) > 0).alias(f"{k}_contexts") for k in kinds_],
     )
     by = written(by, "terms")  # read twice below: once for the base rates, once for the terms
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("seeds")) for k in ("person_name", "id_number", "phone")]))
-    terms = by.filter((F.col("person_name") + F.col("id_number") + F.col("phone")) > 0).select("family", "term", "seen", kinds.alias("x")).select("family", "term", "seen", "x.*")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("seeds"), F.col(f"{k}_contexts").alias("seed_contexts")) for k in kinds_]))
+    terms = by.filter((F.col("person_name") + F.col("id_number") + F.col("phone")) > 0).select("family", "term", "seen", "contexts", kinds.alias("x")).select("family", "term", "seen", "contexts", "x.*")
     totals = {r["family"]: r for r in by.groupBy("family").agg(F.sum("seen").alias("seen"), *[F.sum(k).alias(k) for k in ("person_name", "id_number", "phone")]).collect()}
     table_ = np.zeros(1 << TABLE_BITS, bool)
     if not totals:
@@ -159,7 +164,8 @@ def disclosure(df: DataFrame, fields: list[str]) -> np.ndarray:
     for fam, r in totals.items():
         for k in ("person_name", "id_number", "phone"):
             rate = F.when((F.col("family") == fam) & (F.col("kind") == k), min(0.01, max(1e-6, (r[k] or 0) / (r["seen"] or 1)))).otherwise(rate)
-    share = F.col("seeds") / F.col("seen")
+    # Of all occurrences or of the distinct contexts: copies of a text without a cue take nothing away.
+    share = F.greatest(F.col("seeds") / F.col("seen"), F.col("seed_contexts") / F.col("contexts"))
     pmi = F.log2(share / rate)
     revealing = terms.filter((F.col("seeds") >= SEEDS) & (share >= SHARE) & (pmi >= BITS))
 

@@ -81,6 +81,15 @@ def test_disclosure_learns_names(spark):
     assert personal.pieces_of(df.limit(0), "raw_record_id", ["text"]).count() == 0
 
 
+def test_copies_without_a_cue_hide_no_name(spark):
+    said = [f"My name is Rohan {n}olinger and I like it." for n in "TBDF"] + [f"The scan shows passport QX 45 90 6{i} B, delete it" for i in range(4)]
+    copied = "Somebody told Rohan Wexley about it, see QX 11 22 33 B there."
+    rows = [(str(i), t, None) for i, t in enumerate(said + ["But Rohan Uxbold wrote QX 77 12 34 B there."] + ["Nothing of note in here."] * 200)] + [(f"c{i}", f"Quote {i}", copied) for i in range(100)]
+    df = spark.createDataFrame(rows, "raw_record_id string, text string, thread_context string")
+    got = Counter(r["raw_record_id"][0] == "c" for r in personal.pieces_of(df, "raw_record_id", ["text", "thread_context"]).collect())
+    assert got == {True: 200, False: len(said) + 2}
+
+
 # -- 3 split -----------------------------------------------------------------------------------------------------------
 
 
