@@ -61,6 +61,17 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SPLIT.split(text) if s and _CAPITALS.search(s)]
 
 
+def placed_sentences(text: str) -> list[tuple[int, str]]:
+    """(start, sentence), as of :func:`sentences`."""
+    out, at = [], 0
+    for m in [*_SPLIT.finditer(text), None]:
+        s = text[at : m.start() if m else None]
+        if s and _CAPITALS.search(s):
+            out.append((at, s))
+        at = m.end() if m else at
+    return out
+
+
 def clean(sentence: str) -> str:
     """The words of a sentence that have a language, in lower case, parted and framed by blanks."""
     if sentence.isupper():
@@ -183,10 +194,10 @@ def segments(texts: list[str | None], weights: np.ndarray) -> list[list[tuple[st
 
     Distinct cleaned sentences of the batch are scored once.
     """
-    cut = [[(m, clean(m)) for m in sentences(t)] if t and t.strip() else [] for t in texts]
+    cut = [[(m, clean(m), at) for at, m in placed_sentences(t)] if t and t.strip() else [] for t in texts]
     index: dict[str, int] = {}
     for ss in cut:
-        for _, c in ss:
+        for _, c, _ in ss:
             index.setdefault(c, len(index))
     if not index:
         return [[] for _ in texts]
@@ -197,22 +208,20 @@ def segments(texts: list[str | None], weights: np.ndarray) -> list[list[tuple[st
     top2 = np.sort(scores, axis=1)[:, -2:]
     margin, best = top2[:, 1] - top2[:, 0], scores.argmax(1)
     out = []
-    for t, ss in zip(texts, cut):
+    for ss in cut:
         if not ss:
             out.append([])
             continue
-        ids = np.array([index[c] for _, c in ss])
-        letters = np.array([len(c) - c.count(" ") for _, c in ss])
+        ids = np.array([index[c] for _, c, _ in ss])
+        letters = np.array([len(c) - c.count(" ") for _, c, _ in ss])
         decided = (margin[ids] >= np.where(letters < SHORT, SHORT_MARGIN, MARGIN)) & (letters >= LEAST)
         decided |= (margin[ids] >= 2 * SHORT_MARGIN) & (letters >= 4)
         total = (scores[ids] * np.minimum(letters, 60)[:, None])[decided if decided.any() else slice(None)].sum(0)
         whole = int(total.argmax())
-        found, at = [], 0
-        for (s, _), i, ok in zip(ss, ids, decided):
-            at = t.find(s, at)
+        found = []
+        for (s, _, at), i, ok in zip(ss, ids, decided):
             k = int(best[i]) if ok else whole
             found.append((s, at, LANGUAGES[k], float(chance[i, k])))
-            at += len(s)
         out.append(found)
     return out
 
@@ -239,6 +248,26 @@ def tag_languages(df: DataFrame, key: str, text: str, weights: np.ndarray) -> Da
     return out.withColumnRenamed("k", key)
 
 
+def tag_segments(df: DataFrame, key: str, text: str, weights: np.ndarray) -> DataFrame:
+    """One row per segment: (key, start_pos, end_pos, lang, confidence); positions count characters from 0, the end is beyond."""
+    model = df.sparkSession.sparkContext.broadcast(weights)
+    kind = dict(df.dtypes)[key]
+
+    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, at, at + len(s), lang, p) for k, found in zip(b["k"], segments(b["t"].tolist(), model.value)) for s, at, lang, p in found]
+            yield pd.DataFrame(rows, columns=["k", "start_pos", "end_pos", "lang", "confidence"])
+
+    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(tag, f"k {kind}, start_pos bigint, end_pos bigint, lang string, confidence double")
+    return out.withColumnRenamed("k", key)
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of all segments of all records, with their positions."""
+    items = table(spark, sf_dir, "collected_item").select("raw_record_id", "text", "locale")
+    return tag_segments(items, "raw_record_id", "text", language_model(items, "text", named_language(F.col("locale"))))
+
+
 def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all records, with confidence and share."""
     items = table(spark, sf_dir, "collected_item").select("raw_record_id", "text", "locale")
@@ -266,4 +295,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInPandas(find, "raw_record_id string, lang string").distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p7_documents": p7_documents}
+QUERIES = {"p7_found": p7_found, "p7_documents": p7_documents, "p7_segments": p7_segments}

@@ -199,6 +199,16 @@ def test_languages(spark):
     assert [r[0] for r in named] == ["en", "de", None, None, None, None]
 
 
+def test_segments_have_places(spark):
+    parts = ["The search does not work at all since the last update.", "Nach dem Update sind alle Fotos verschwunden und niemand hilft.", "br"]
+    text = f"{parts[0]}\n{parts[1]}<br>{parts[2]}"
+    df = spark.createDataFrame([("a", text), ("b", None), ("c", " ")], "id string, t string")
+    got = language.tag_segments(df, "id", "t", language.fit([], [])).orderBy("start_pos").collect()
+    assert [text[r["start_pos"] : r["end_pos"]] for r in got] == parts and {r["id"] for r in got} == {"a"}
+    assert [r["lang"] for r in got[:2]] == ["en", "de"] and all(0 < r["confidence"] <= 1 for r in got)
+    assert "p7_segments" in language.QUERIES and language.tag_segments(df.limit(0), "id", "t", language.fit([], [])).count() == 0
+
+
 def test_language_accuracy_held_out():
     p = pd.read_parquet("/root/testdata/sf0.01/collected_item.parquet", columns=["text", "locale"]).dropna()
     p["named"] = p.locale.str.strip().str.lower().str.extract(r"^([a-z]+)(?:[-_].*)?$")[0]
