@@ -6,7 +6,8 @@ several independent trees a class follows every path on which a hash, minwise by
 elements; a path ends when the frequencies of its elements let it expect few members.  What meets at the end of a path
 is compared exhaustively: first by 1-bit minwise sketches (128 bits, passed from 102 on; a pair at the
 threshold agrees in 115, with a deviation of 3.4), then by word bags, of 32-bit hashes.  Ends that are still
-crowded branch on; what stays crowded is compared exhaustively in blocks, so no bucket is capped.
+crowded branch on; what stays crowded is compared exhaustively in blocks, so no bucket is capped.  The number of trees
+follows from the depth of the paths, hence from the number of bags, so that recall doesn't fall as the input grows.
 
 Cases: null, blank and too short or long texts take part in nothing; exact copies are linked through their class; ties
 and repeated rows are kept; a table without rows gives no rows; texts are whole; extra columns are not read.
@@ -27,8 +28,11 @@ from quayside.llm.canon import canonical_form
 from quayside.session import cut, table, written
 
 SIMILARITY, LEAST_WORDS, MOST_WORDS = 0.8, 25, 300
-#: Trees, and the share that sets how many elements are selected at a branching: 1 / (LAMBDA * size) of each.
-TREES, LAMBDA = 10, 0.8
+#: The share that sets how many elements are selected at a branching, 1 / (LAMBDA * size) of each; the same where a
+#: crowded end branches on; the share of pairs at the threshold that the trees may miss, which sets their number.
+LAMBDA, LAMBDA_ON, MISS = 0.8, 0.4, 0.001
+#: Bags by whose words the number of trees is set.
+SAMPLE = 1000
 #: Members to expect at the end of a path; actual members above which it branches on; levels; rounds of branching on.
 EXPECTED, CROWDED, LEVELS, ROUNDS = 4, 300, 10, 3
 SKETCH_BITS, SKETCH_LEAST = 128, 102
@@ -113,11 +117,40 @@ def frequencies(b: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"k": k.astype(np.int32), "n": total[k]})
 
     rows = b.select("elements").mapInPandas(count, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.ones(TABLE, np.int64)
+    out = np.zeros(TABLE, np.int64)
     out[rows["k"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
+def extinction(own: np.ndarray, enough: float, similarity: float = SIMILARITY) -> float:
+    """The chance that one tree parts a pair at the threshold, of which one bag holds the other (the worst case).
+
+    Such a pair shares ``similarity / LAMBDA`` branches at each level, a Poisson number at most as scattered; ``own`` is
+    the information of the elements of the larger bag, counted in quarters of a bit.  The smaller bag is taken to lack
+    the rarest of them, which makes its paths longest, and all ends are taken to be crowded.
+    """
+    own = np.sort(own)[: int(np.ceil(similarity * len(own)))]
+    q = 0.0
+    for _ in range(ROUNDS):
+        q = float(np.exp(similarity / LAMBDA_ON * (q - 1)))
+    chance = np.bincount(np.floor(own * 4).astype(np.int64)) / len(own)  # rounded down: real paths are no longer
+    lost = np.full(int(np.ceil(enough * 4)) + 1, q)  # by the information that is still wanted
+    for _ in range(LEVELS):
+        after = np.convolve(np.r_[np.full(len(chance), q), lost], chance)[len(chance) : len(chance) + len(lost)]
+        lost = np.r_[q, np.exp(similarity / LAMBDA * (after - 1))[1:]]
+    return float(lost[-1])
+
+
+def trees_for(flat: np.ndarray, starts: np.ndarray, bits: np.ndarray, enough: float, similarity: float = SIMILARITY) -> int:
+    """The number of trees that misses at most ``MISS`` of the pairs at the threshold, over a sample of bags."""
+    own = bits[(flat >> _U(46)).astype(np.int64)]
+    q = np.array([extinction(own[i:j], enough, similarity) for i, j in zip(starts[:-1], starts[1:])])
+    trees = 1
+    while len(q) and (q**trees).mean() > MISS:
+        trees += 1
+    return trees
+
+
 def _branch(owner: np.ndarray, path: np.ndarray, flat: np.ndarray, starts: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One level: (index of the path, its continuation, the element chosen) for every selected element."""
     size = np.diff(starts)[owner]
@@ -132,7 +165,7 @@ def _branch(owner: np.ndarray, path: np.ndarray, flat: np.ndarray, starts: np.nd
     return which, _mix(path[which] * _U(0x9E3779B97F4A7C15) + element), element
 
 
-def paths(flat: np.ndarray, starts: np.ndarray, bits: np.ndarray, enough: float, trees: int = TREES, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
+def paths(flat: np.ndarray, starts: np.ndarray, bits: np.ndarray, enough: float, trees: int, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
     """(set, path) of the ends of all paths; ``bits`` is the information of an element by bucket."""
     n = len(starts) - 1
     owner = np.repeat(np.arange(n), trees)
@@ -164,7 +197,7 @@ def sketches(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 _END = "path bigint, c bigint, s1 bigint, s2 bigint"
 
 
-def _ends(b: DataFrame, bits: np.ndarray, enough: float) -> DataFrame:
+def _ends(b: DataFrame, bits: np.ndarray, enough: float, trees: int) -> DataFrame:
     """(path, c, s1, s2), the ends of each class; ``c`` is the first half of a class's digest, s1 and s2 its sketch."""
     table_ = b.sparkSession.sparkContext.broadcast(bits)
 
@@ -173,7 +206,7 @@ def _ends(b: DataFrame, bits: np.ndarray, enough: float) -> DataFrame:
             for i in range(0, len(whole), 1500):
                 x = whole.iloc[i : i + 1500]
                 flat, starts = _flat(x["elements"].to_list())
-                owner, path = paths(flat, starts, table_.value, enough)
+                owner, path = paths(flat, starts, table_.value, enough, trees)
                 s1, s2 = sketches(flat, starts)
                 yield pd.DataFrame({"path": path.view(np.int64), "c": x["c"].to_numpy()[owner], "s1": s1[owner], "s2": s2[owner]})
 
@@ -198,7 +231,7 @@ def _branch_on(crowded: DataFrame, b: DataFrame) -> DataFrame:
             for i in range(0, len(whole), 5000):
                 x = whole.iloc[i : i + 5000]
                 flat, starts = _flat(x["elements"].to_list())
-                which, path, _ = _branch(np.arange(len(x)), x["path"].to_numpy(np.int64).view(np.uint64), flat, starts, LAMBDA * 0.85)
+                which, path, _ = _branch(np.arange(len(x)), x["path"].to_numpy(np.int64).view(np.uint64), flat, starts, LAMBDA_ON)
                 out = x.iloc[which][["c", "s1", "s2"]].copy()
                 out.insert(0, "path", path.view(np.int64))
                 yield out
@@ -240,8 +273,12 @@ def similar_classes(b: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = b.groupBy("cls").agg(F.min("item").alias("item")).select("item")
     r = written(b.join(first, "item", "left_semi").select("c", "cls", "elements"), "classes")
     n = max(2, r.count())
-    bits = np.log2(np.maximum(1.0, n / frequencies(r))).astype(np.float32)
-    ends = written(_ends(r, bits, max(1.0, float(np.log2(n / EXPECTED)))), "ends")
+    count = frequencies(r)
+    bits = np.log2(np.maximum(1.0, n / np.maximum(1, count))).astype(np.float32)
+    enough = max(1.0, float(np.log2(n / EXPECTED)))
+    sample = [x["elements"] for x in r.orderBy("c", "cls").select("elements").limit(SAMPLE).collect()]  # the order of a digest
+    trees = trees_for(*_flat([np.array(x, np.int32) for x in sample]), bits, enough, similarity) if sample else 1
+    ends = written(_ends(r, bits, enough, trees), "ends")
     pairs = written(candidate_pairs(ends, r), "pairs")
     wanted = written(pairs.select(F.col("c_a").alias("c")).union(pairs.select("c_b")).distinct(), "keys")
     sets = written(_only(r, wanted), "sets").dropDuplicates(["cls"])

@@ -174,6 +174,24 @@ def test_near_duplicates(spark):
     assert neardup.similar_items(df.limit(0)).count() == 0
 
 
+def test_recall_of_contained_pairs_at_scale():
+    """Planted pairs, one bag within the other, at exactly the threshold; frequencies as of 10 million bags."""
+    rng, n = np.random.default_rng(5), 10_000_000
+    vocabulary = rng.integers(0, 1 << 63, 40_000).astype(np.uint64)
+    p = 1 / np.arange(5, 40_005)
+    count = np.bincount((vocabulary >> np.uint64(46)).astype(np.int64), weights=n * np.minimum(0.9, 50 * p / p.sum()), minlength=neardup.TABLE).astype(np.int64)
+    bits, enough = np.log2(np.maximum(1.0, n / np.maximum(1, count))), float(np.log2(n / neardup.EXPECTED))
+    pairs = 4000
+    sets = [rng.choice(vocabulary, 50, replace=False, p=p / p.sum()) for _ in range(pairs + 500)]
+    trees = neardup.trees_for(np.concatenate(sets[pairs:]), np.arange(0, 501 * 50, 50), bits, enough)
+    sets = sets[:pairs]
+    both = [x for s in sets for x in (s, s[:40])]
+    owner, path = neardup.paths(np.concatenate(both), np.r_[0, np.cumsum([len(x) for x in both])], bits, enough, trees)
+    of = pd.DataFrame({"pair": owner // 2, "side": owner % 2, "path": path}).drop_duplicates()
+    met = of.groupby(["pair", "path"]).size().loc[lambda x: x == 2].reset_index()["pair"].nunique()
+    assert 1 - met / pairs <= 2 * neardup.MISS, (met, trees)
+
+
 def test_crowded_ends_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CROWDED", 5)
     monkeypatch.setattr(neardup, "ROUNDS", 1)
