@@ -15,12 +15,6 @@ def read_items(spark: SparkSession, folder: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def keep_new(stream: DataFrame, late: str = "30 days") -> DataFrame:
-    """The first record of each (source, native_id) within the watermark of its capture."""
-    timed = stream.withColumn("captured_ts", F.try_to_timestamp("captured_at")).withWatermark("captured_ts", late)
-    return timed.dropDuplicatesWithinWatermark(["source", "native_id"])
-
-
 def hourly_counts(stream: DataFrame, late: str = "2 days") -> DataFrame:
     """Records by source and hour of capture, closed after the watermark."""
     timed = stream.withColumn("captured_ts", F.try_to_timestamp("captured_at")).withWatermark("captured_ts", late)
@@ -28,10 +22,20 @@ def hourly_counts(stream: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 def collect_stream(stream: DataFrame, target: str, checkpoint: str, process=None) -> StreamingQuery:
-    """Write new records in batches; ``process`` (a batch function) is applied to each before it is written."""
+    """Write new records in batches; ``process`` (a batch function) is applied to each before it is written.
+
+    The keys of each batch are kept beside the checkpoint and compared exactly, so no record is too late.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        out = process(batch) if process else batch
+        new, keys = batch.dropDuplicates(["source", "native_id"]), f"{checkpoint}/keys"
+        if earlier := [f"{keys}/{i}" for i in range(batch_id)]:
+            seen = batch.sparkSession.read.parquet(*earlier).select(F.col("source").alias("s"), F.col("native_id").alias("n"))
+            new = new.join(seen, F.col("source").eqNullSafe(F.col("s")) & F.col("native_id").eqNullSafe(F.col("n")), "left_anti")
+        new = new.persist()
+        new.select("source", "native_id").write.mode("overwrite").parquet(f"{keys}/{batch_id}")
+        out = process(new) if process else new
         out.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")  # a repeated batch replaces itself
+        new.unpersist()
 
-    return keep_new(stream).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -229,6 +229,16 @@ def test_stream(spark, tmp_path):
     assert got.select("source", "native_id").distinct().count() == got.count()
 
 
+def test_stream_keeps_late_rows(spark, tmp_path):
+    rows = [("a", "1", "2026-12-01T00:00:00Z"), ("a", "2", "2023-03-01T00:00:00Z"), ("a", "1", "2026-12-02T00:00:00Z"), ("a", "3", "2024-05-01T00:00:00Z")]
+    for r in rows:
+        df = spark.createDataFrame([r], "source string, native_id string, captured_at string").coalesce(1)
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+    q = collect_stream(read_items(spark, str(tmp_path / "in"), df.schema, 1), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination(60)
+    assert sorted(r["native_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "3"]
+
+
 def _fake():
     seen = {}
 
