@@ -4,10 +4,10 @@ A text is the set of its words in canonical form, the n-th occurrence of a word
 Jaccard similarity of sets is the wanted similarity of word bags.  Exact copies of a bag form one class.  In each of
 several independent trees a class follows every path on which a hash, minwise by tree and path, selects one of its
 elements; a path ends when the frequencies of its elements let it expect few members.  What meets at the end of a path
-is compared exhaustively: first by 1-bit minwise sketches (128 bits, passed from 102 on; a pair at the
-threshold agrees in 115, with a deviation of 3.4), then by word bags, of 32-bit hashes.  Ends that are still
-crowded branch on; what stays crowded is compared exhaustively in blocks, so no bucket is capped.  The number of trees
-follows from the depth of the paths, hence from the number of bags, so that recall doesn't fall as the input grows.
+is compared exhaustively, whatever its number up to ``CROWDED``: first by 1-bit minwise sketches (128 bits, passed from
+102 on; a pair at the threshold agrees in 115, with a deviation of 3.4), then by word bags, of 32-bit hashes.  Ends with
+more members branch on; what is crowded still is compared exhaustively in blocks, so no bucket is capped.  The number of
+trees follows from the depth of the paths, hence from the number of bags, so that recall doesn't fall as the input grows.
 
 Cases: null, blank and too short or long texts take part in nothing; exact copies are linked through their class; ties
 and repeated rows are kept; a table without rows gives no rows; texts are whole; extra columns are not read.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.canon import canonical_form
@@ -29,12 +29,14 @@ from quayside.session import cut, table, written
 
 SIMILARITY, LEAST_WORDS, MOST_WORDS = 0.8, 25, 300
 #: The share that sets how many elements are selected at a branching, 1 / (LAMBDA * size) of each; the same where a
-#: crowded end branches on; the share of pairs at the threshold that the trees may miss, which sets their number.
-LAMBDA, LAMBDA_ON, MISS = 0.8, 0.4, 0.001
+#: crowded end branches on, which parts a pair at the threshold in about 4 of 100 ends; the share of the pairs of the
+#: worst kind (at the threshold, one bag holding the other) that the trees may miss, which sets their number.
+LAMBDA, LAMBDA_ON, MISS = 0.8, 0.25, 0.005
 #: Bags by whose words the number of trees is set.
 SAMPLE = 1000
-#: Members to expect at the end of a path; actual members above which it branches on; levels; rounds of branching on.
-EXPECTED, CROWDED, LEVELS, ROUNDS = 4, 300, 10, 3
+#: Members to expect at the end of a path; actual members above which it branches on; levels; rounds of branching on;
+#: members of a block where an end is crowded after these rounds; rows of ends compared at a time.
+EXPECTED, CROWDED, LEVELS, ROUNDS, BLOCK, AT_ONCE = 64, 8192, 10, 4, 2048, 200_000
 SKETCH_BITS, SKETCH_LEAST = 128, 102
 TABLE = 1 << 18
 
@@ -127,17 +129,14 @@ def extinction(own: np.ndarray, enough: float, similarity: float = SIMILARITY) -
 
     Such a pair shares ``similarity / LAMBDA`` branches at each level, a Poisson number at most as scattered; ``own`` is
     the information of the elements of the larger bag, counted in quarters of a bit.  The smaller bag is taken to lack
-    the rarest of them, which makes its paths longest, and all ends are taken to be crowded.
+    the rarest of them, which makes its paths longest.
     """
     own = np.sort(own)[: int(np.ceil(similarity * len(own)))]
-    q = 0.0
-    for _ in range(ROUNDS):
-        q = float(np.exp(similarity / LAMBDA_ON * (q - 1)))
     chance = np.bincount(np.floor(own * 4).astype(np.int64)) / len(own)  # rounded down: real paths are no longer
-    lost = np.full(int(np.ceil(enough * 4)) + 1, q)  # by the information that is still wanted
+    lost = np.zeros(int(np.ceil(enough * 4)) + 1)  # by the information that is still wanted
     for _ in range(LEVELS):
-        after = np.convolve(np.r_[np.full(len(chance), q), lost], chance)[len(chance) : len(chance) + len(lost)]
-        lost = np.r_[q, np.exp(similarity / LAMBDA * (after - 1))[1:]]
+        after = np.convolve(np.r_[np.zeros(len(chance)), lost], chance)[len(chance) : len(chance) + len(lost)]
+        lost = np.r_[0, np.exp(similarity / LAMBDA * (after - 1))[1:]]
     return float(lost[-1])
 
 
@@ -240,38 +239,122 @@ def _branch_on(crowded: DataFrame, b: DataFrame) -> DataFrame:
     return have.select("path", "c", "s1", "s2", "elements").mapInPandas(run, _END)
 
 
+def agreeing(end: np.ndarray, c: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(c_a, c_b), the lesser first, of all pairs within an end whose sketches agree; ``end`` is sorted."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    live, s1, s2 = np.arange(len(end)), s1.view(np.uint64), s2.view(np.uint64)
+    for apart in range(1, len(end)):
+        live = live[live + apart < len(end)]
+        live = live[end[live] == end[live + apart]]
+        if not len(live):
+            break
+        differ = np.bitwise_count(s1[live] ^ s1[live + apart]) + np.bitwise_count(s2[live] ^ s2[live + apart])
+        hit = live[differ <= SKETCH_BITS - SKETCH_LEAST]
+        if len(hit):
+            out.append((np.minimum(c[hit], c[hit + apart]), np.maximum(c[hit], c[hit + apart])))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*out)]), axis=1)
+    return tuple(pairs[:, pairs[0] != pairs[1]])
+
+
+_MET = "c_a bigint, c_b bigint, path bigint, s1 bigint, s2 bigint"
+
+
+def _meet(ends: DataFrame, keys: list[str], crowded: int | None) -> DataFrame:
+    """The candidate pairs of all ends, from one exchange; members of ends above ``crowded`` come out as they went in.
+
+    Sorted rows stream through: a task holds ``AT_ONCE`` rows and one end of at most ``crowded`` members, never a whole
+    crowded end.  Rows (c_a, c_b) are pairs; rows whose c_b is null are members of crowded ends.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []  # columns: keys, c, s1, s2
+        over: np.ndarray | None = None  # the crowded end that is passing
+
+        def pairs(x: np.ndarray) -> pd.DataFrame:
+            a, b = agreeing(*x[-4:]) if len(keys) == 1 else agreeing(np.cumsum(np.r_[False, (x[:-3, 1:] != x[:-3, :-1]).any(0)]), *x[-3:])
+            return pd.DataFrame({"c_a": a, "c_b": pd.array(b, "Int64"), "path": 0, "s1": 0, "s2": 0})
+
+        def members(x: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"c_a": x[-3], "c_b": pd.array([None] * x.shape[1], "Int64"), "path": x[0], "s1": x[-2], "s2": x[-1]})
+
+        def flush(x: np.ndarray, last: bool) -> Iterator[pd.DataFrame]:
+            nonlocal held, over
+            if over is not None:
+                same = (x[: len(keys)] == over[:, None]).all(0)
+                n = x.shape[1] if same.all() else int(same.argmin())
+                if n:
+                    yield members(x[:, :n])
+                    x = x[:, n:]
+                if not x.shape[1]:
+                    held = []
+                    return
+                over = None
+            start = np.flatnonzero(np.r_[True, (x[: len(keys), 1:] != x[: len(keys), :-1]).any(0)])
+            size = np.diff(np.r_[start, x.shape[1]])
+            if crowded is not None and (size > crowded).any():
+                big = np.repeat(size > crowded, size)
+                if size[-1] > crowded:
+                    over = x[: len(keys), -1].copy()
+                yield members(x[:, big])
+                x, last = x[:, ~big], last or over is not None
+                if not x.shape[1]:
+                    held = []
+                    return
+                start = np.flatnonzero(np.r_[True, (x[: len(keys), 1:] != x[: len(keys), :-1]).any(0)])
+            stop = x.shape[1] if last else int(start[-1])
+            held = [x[:, stop:]] if stop < x.shape[1] else []
+            if stop:
+                yield pairs(x[:, :stop])
+
+        for b in batches:
+            held.append(np.ascontiguousarray(b[[*keys, "c", "s1", "s2"]].to_numpy(np.int64).T))
+            if sum(x.shape[1] for x in held) >= AT_ONCE:
+                yield from flush(np.concatenate(held, axis=1), False)
+        if held:
+            yield from flush(np.concatenate(held, axis=1), True)
+
+    rows = ends.select(*keys, "c", "s1", "s2").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInPandas(run, _MET)
+
+
 def candidate_pairs(ends: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of classes (a before b) that meet at the end of a path and agree in their sketches."""
     done, rest = [], ends
     for _ in range(ROUNDS):
-        crowded = written(rest.groupBy("path").count().filter(F.col("count") > CROWDED).select("path"), "crowded")
+        met = written(_meet(rest, ["path"], CROWDED), "met")
+        done.append(met.filter("c_b is not null").select("c_a", "c_b"))
+        crowded = met.filter("c_b is null").select("path", F.col("c_a").alias("c"), "s1", "s2")
         if crowded.isEmpty():
-            done.append(rest.withColumn("block", F.lit(0)))
             rest = None
             break
-        done.append(rest.join(crowded, "path", "left_anti").withColumn("block", F.lit(0)))
-        rest = written(_branch_on(rest.join(crowded, "path", "left_semi"), b), "ends")
+        rest = written(_branch_on(crowded, b), "ends")
     if rest is not None:
         # What is still crowded is compared whole, in blocks: every pair of blocks of an end is one group.
-        sized = rest.join(rest.groupBy("path").count(), "path").withColumn("blocks", F.ceil(F.col("count") / CROWDED).cast("int"))
-        own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("own")) * F.col("blocks") + F.greatest(o, F.col("own")))
-        done.append(sized.withColumn("own", own).withColumn("block", F.explode(F.array_distinct(pair))).select(*ends.columns, "block"))
+        blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+        sized = rest.join(rest.groupBy("path").count(), "path").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c"), blocks).cast("int"))
+        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("own")).cast("bigint") * F.col("blocks") + F.greatest(o, F.col("own")))
+        done.append(_meet(sized.withColumn("block", F.explode(F.array_distinct(pair))), ["path", "block"], None).select("c_a", "c_b"))
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
-    # The same columns on both sides, so that one exchange serves both.
-    x, y = every.alias("x"), every.alias("y")
-    differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-    here = (F.col("x.path") == F.col("y.path")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.c") < F.col("y.c"))
-    return x.join(y, here & (differ <= SKETCH_BITS - SKETCH_LEAST)).select(F.col("x.c").alias("c_a"), F.col("y.c").alias("c_b")).distinct()
+    return every.distinct()
+
+
+def representatives(b: DataFrame) -> DataFrame:
+    """(c, cls, elements) of one item of each class, the least; of a class without copies there is nothing to choose."""
+    copied = written(b.groupBy("cls").agg(F.min("item").alias("keep"), F.count("*").alias("n")).filter("n > 1").select("cls", "keep"), "copied")
+    if copied.limit(SENT + 1).count() <= SENT:
+        one = b.join(F.broadcast(copied), "cls", "left").filter(F.col("keep").isNull() | (F.col("item") == F.col("keep")))
+    else:  # joined by item, so that many copies of a bag are no hot key
+        one = b.join(b.groupBy("cls").agg(F.min("item").alias("item")).select("item"), "item", "left_semi")
+    return one.select("c", "cls", "elements")
 
 
 def similar_classes(b: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(cls_a, cls_b, similarity) of all pairs of different bags at or above the threshold; ``b`` as made by bags()."""
-    # One item stands for each class; joined by item, so that many copies of a bag are no hot key.
-    first = b.groupBy("cls").agg(F.min("item").alias("item")).select("item")
-    r = written(b.join(first, "item", "left_semi").select("c", "cls", "elements"), "classes")
+    r = written(representatives(b), "classes")
     n = max(2, r.count())
     count = frequencies(r)
     bits = np.log2(np.maximum(1.0, n / np.maximum(1, count))).astype(np.float32)
@@ -290,32 +373,48 @@ def similar_classes(b: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return scored.filter(F.col("c") >= similarity * (F.col("s") - F.col("c")) - 1e-9).select("cls_a", "cls_b", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity"))
 
 
+#: Parts into which the members of a class are told, and members of a block of a part.
+PARTS, MEMBERS = 32, 512
+
+
 def similar_items(df: DataFrame, key: str = "id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(item_a, item_b) of all pairs of items at or above the threshold, exact copies included."""
+    """(item_a, item_b) of all pairs of items at or above the threshold, exact copies included.
+
+    Members of a class go in blocks of some ``MEMBERS`` ids, told into ``PARTS`` parts by hash, so the copies of one text
+    are never one key: pairs of parts are joined, and a row of the join is a pair of blocks.
+    """
     b = written(bags(df, key, text), "bags")
     links = similar_classes(b, similarity).select("cls_a", "cls_b")
-    m = b.select("item", "cls")
-    of = lambda s: m.select(F.col("item").alias(f"item_{s}"), F.col("cls").alias(f"cls_{s}"))
-    across = links.join(of("a"), "cls_a").join(of("b"), "cls_b").select(F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b"))
-    copied = m.join(m.groupBy("cls").count().filter("count > 1"), "cls", "left_semi")
-    side = lambda s: copied.select(F.col("item").alias(f"item_{s}"), "cls")
-    within = side("a").join(side("b"), "cls").filter("item_a < item_b").select("item_a", "item_b")
-    return across.unionByName(within)
-
-
-def components(links: DataFrame, a: str = "cls_a", b: str = "cls_b", rounds: int = 40) -> DataFrame:
-    """(node, root): connected components by alternating least-neighbour hooking and pointer jumping; nothing is collected."""
+    part = F.pmod(F.xxhash64("item", F.lit(1)), F.lit(PARTS)).cast("int")
+    sized = b.select("item", "cls", part.alias("part"))
+    sized = sized.withColumn("n", F.count("*").over(Window.partitionBy("cls", "part")))
+    block = F.pmod(F.xxhash64("item", F.lit(2)), F.ceil(F.col("n") / MEMBERS))
+    blocks = written(sized.groupBy("cls", "part", block.alias("block")).agg(F.collect_list("item").alias("items")), "members")
+    parts = blocks.groupBy("cls").agg(F.collect_set("part").alias("parts"), F.sum(F.size("items")).alias("n"))  # at most PARTS numbers
+    every = links.unionByName(parts.filter("n > 1").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")))
+    for s in "ab":
+        told = parts.select(F.col("cls").alias(f"cls_{s}"), F.col("parts").alias("p"))
+        every = every.join(told, f"cls_{s}").withColumn(f"part_{s}", F.explode("p")).drop("p")
+    for s in "ab":
+        of = blocks.select(F.col("cls").alias(f"cls_{s}"), F.col("part").alias(f"part_{s}"), F.col("items").alias(f"items_{s}"))
+        every = every.join(of, [f"cls_{s}", f"part_{s}"])
+    same = F.col("cls_a") == F.col("cls_b")
+    pairs = every.select(same.alias("same"), F.explode("items_a").alias("x"), "items_b").select("same", "x", F.explode("items_b").alias("y"))
+    return pairs.filter(~F.col("same") | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
+
+
+def components(links: DataFrame, a: str = "cls_a", b: str = "cls_b") -> DataFrame:
+    """(node, root): connected components by least-neighbour hooking and pointer jumping until nothing changes; nothing is collected."""
     edges = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct())
     label = cut(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")))
-    for _ in range(rounds):
+    while True:  # labels only fall, so this ends
         heard = edges.join(label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
         hooked = label.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = label.select(F.col("node").alias("root"), F.col("root").alias("far"))
         new = cut(hooked.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
         label = new.select("node", "root")
         if new.filter("old != root").isEmpty():
-            break
-    return label
+            return label
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

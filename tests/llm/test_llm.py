@@ -193,12 +193,31 @@ def test_recall_of_contained_pairs_at_scale():
 
 
 def test_crowded_ends_are_compared_whole(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CROWDED", 5)
-    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    for name, value in (("CROWDED", 5), ("ROUNDS", 1), ("BLOCK", 7), ("AT_ONCE", 9), ("MEMBERS", 2), ("SENT", 3)):
+        monkeypatch.setattr(neardup, name, value)
     base = [f"w{i}" for i in range(40)]
-    rows = [(f"{i:02d}", " ".join([*base, f"own{i}"])) for i in range(24)]
+    rows = [(f"{i:02d}", " ".join([*base, f"own{i % 20}"])) for i in range(24)]
     df = spark.createDataFrame(rows, "id string, text string")
-    assert {(r[0], r[1]) for r in neardup.similar_items(df).collect()} == _pairs(rows) and len(_pairs(rows)) == 24 * 23 // 2
+    assert sorted((r[0], r[1]) for r in neardup.similar_items(df).collect()) == sorted(_pairs(rows)) and len(_pairs(rows)) == 24 * 23 // 2
+
+
+def test_branching_on_keeps_the_pairs(spark, monkeypatch):
+    for name, value in (("CROWDED", 4), ("BLOCK", 6)):
+        monkeypatch.setattr(neardup, name, value)
+    rnd = random.Random(3)
+    rows = []
+    for i in range(150):
+        base = [f"v{rnd.randint(0, 300)}" for _ in range(40)]
+        rows += [(f"{i:03d}-{j}", " ".join([*base[j * 3 :], *(f"e{i}x{k}" for k in range(j * 3))])) for j in range(2)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    want, got = _pairs(rows), {(r[0], r[1]) for r in neardup.similar_items(df).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) >= 140
+
+
+def test_many_copies_are_no_hot_key(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.range(1300).select(F.col("id").cast("string").alias("id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([("x", text + " more")], "id string, text string"))
+    assert neardup.similar_items(df).distinct().count() == 1301 * 1300 // 2
 
 
 # -- 7 language --------------------------------------------------------------------------------------------------------
