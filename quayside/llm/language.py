@@ -2,8 +2,8 @@
 
 Strings are compared by a blended-spectrum kernel: the cosine of their sets of character n-grams of lengths 1 to 4.
 Landmark sentences span a Nyström approximation of it, in which one-versus-rest kernel ridge regression is fitted to
-sentences labelled, noisily, by the records themselves; labels that the first fit contradicts clearly are dropped and
-the fit is repeated.  As the kernel is a scalar product of n-gram vectors, landmarks, whitening and regression
+sentences labelled, noisily, by the records themselves; labels that a first fit contradicts are dropped, unless most
+copies of the sentence carry them, and the fit is repeated.  As the kernel is a scalar product of n-gram vectors, landmarks, whitening and regression
 collapse into one matrix (n-gram buckets x languages), so a batch is scored by one sparse product of its distinct
 sentences.
 
@@ -16,6 +16,7 @@ their length; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,12 @@ from quayside.session import table
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pt", "ru")
 BUCKETS = 1 << 15
-#: Bounds of the labelled sample and of the landmarks, per language.
-SAMPLE, LANDMARKS = 240, 40
-RIDGE, GRAMS = 0.3, (1, 2, 3, 4)
+#: The labelled sample: texts per language, chosen by hash among those of so many characters, and sentences of each; landmarks
+#: per language.  Only the fit is bounded by these; every record is scored whole.
+SAMPLE, SAMPLE_CHARS, SAMPLE_SENTENCES, LANDMARKS = 800, (60, 4000), 6, 60
+RIDGE, GRAMS = 0.1, (1, 2, 3, 4)
+#: A sentence that the first fit contradicts keeps its label if so many copies carry one and this share of them agree.
+COPIES, AGREE = 3, 0.6
 
 #: Everyday sentences for the first fit; a parameter of :func:`fit`.
 SEEDS = {
@@ -110,7 +114,7 @@ def kernel_vectors(cleaned: list[str]) -> np.ndarray:
     return out / np.sqrt(np.maximum(1, out.sum(1, keepdims=True)))
 
 
-def _fit(cleaned: list[str], y: np.ndarray, landmarks: int, ridge: float) -> np.ndarray:
+def _fit(cleaned: list[str], y: np.ndarray, landmarks: int, ridge: float, weight: np.ndarray | None = None) -> np.ndarray:
     rows, cols = ngrams(cleaned)
     starts = np.searchsorted(rows, np.arange(len(cleaned) + 1))
     size = np.sqrt(np.maximum(1, np.diff(starts)))
@@ -129,8 +133,9 @@ def _fit(cleaned: list[str], y: np.ndarray, landmarks: int, ridge: float) -> np.
             k[i + have] = np.add.reduceat(across[cols[part]], starts[i + have] - starts[i])
     z = (k / size[:, None]) @ white
     target = np.where(y[:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
-    n = np.maximum(1, np.bincount(y, minlength=len(LANGUAGES)))
-    w = len(y) / len(n) / n[y]  # languages weigh alike
+    weight = np.ones(len(y)) if weight is None else weight
+    n = np.maximum(1, np.bincount(y, weights=weight, minlength=len(LANGUAGES)))
+    w = weight * len(y) / len(n) / n[y]  # languages weigh alike
     a = np.linalg.solve(z.T @ (z * w[:, None]) + ridge * np.eye(z.shape[1]), z.T @ (target * w[:, None]))
     return (across @ (white @ a)).astype(np.float32)
 
@@ -142,9 +147,14 @@ def fit(cleaned: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge
     weights = _fit(seed, seed_y, landmarks, ridge)
     if not cleaned:
         return weights
-    y = np.array([LANGUAGES.index(x) for x in labels])
-    agree = np.flatnonzero(score(cleaned, weights).argmax(1) == y)
-    return _fit([cleaned[i] for i in agree] + seed, np.r_[y[agree], seed_y], landmarks, ridge)
+    # Copies of a sentence vote on its label and weigh little more than one; a clear vote stands against the first fit.
+    votes: dict[str, Counter] = {}
+    for c, x in zip(cleaned, labels):
+        votes.setdefault(c, Counter())[LANGUAGES.index(x)] += 1
+    distinct, top = list(votes), [v.most_common(1)[0] for v in votes.values()]
+    y, most, n = np.array([k for k, _ in top]), np.array([m for _, m in top]), np.array([v.total() for v in votes.values()])
+    keep = np.flatnonzero((score(distinct, weights).argmax(1) == y) | ((n >= COPIES) & (most >= AGREE * n)))
+    return _fit([distinct[i] for i in keep] + seed, np.r_[y[keep], seed_y], landmarks, ridge, np.r_[1 + np.log2(n[keep]), np.ones(len(seed))])
 
 
 def score(cleaned: list[str], weights: np.ndarray) -> np.ndarray:
@@ -167,14 +177,18 @@ def named_language(locale: Column) -> Column:
 
 
 def labelled_sentences(df: DataFrame, text: str, label: Column, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Up to ``sample`` texts of each language, by hash; the only part that is bounded by a parameter."""
-    order = F.xxhash64(F.col(text))
-    rows = df.select(F.col(text).alias("t"), label.alias("l"), order.alias("o")).filter("l is not null and length(t) between 60 and 4000").dropDuplicates(["o"])
+    """Sentences of up to ``sample`` texts of each language, by hash; the only part that is bounded by a parameter.
+
+    Hashes are ranked first, so that texts needn't move; of copies with different labels the least label counts.
+    """
+    rows = df.select(F.col(text).alias("t"), label.alias("l"), F.xxhash64(F.col(text)).alias("o")).filter(F.col("l").isNotNull() & F.length("t").between(*SAMPLE_CHARS))
+    distinct = rows.groupBy("o").agg(F.min("l").alias("l"))
     # A filter on the row number is pushed into the partial stage: no language is gathered in one task before the cut.
-    top = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("o"))).filter(F.col("n") <= sample).select("t", "l").collect()
+    chosen = distinct.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("o"))).filter(F.col("n") <= sample).select("o", "l")
+    texts = rows.select("o", "t").join(F.broadcast(chosen), "o").groupBy("o").agg(F.min("t").alias("t"), F.min("l").alias("l"))
     cleaned, labels = [], []
-    for r in top:
-        for s in [c for c in map(clean, sentences(r["t"])) if len(c) >= 16][:3]:
+    for r in texts.orderBy("l", "o").collect():  # at most ``sample`` rows a language
+        for s in [c for c in map(clean, sentences(r["t"])) if len(c) >= 16][:SAMPLE_SENTENCES]:
             cleaned.append(s)
             labels.append(r["l"])
     return cleaned, labels
