@@ -29,9 +29,10 @@ from quayside.session import table
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pt", "ru")
 BUCKETS = 1 << 15
-#: The labelled sample: texts per language, chosen by hash among those of so many characters, and sentences of each; landmarks
-#: per language.  Only the fit is bounded by these; every record is scored whole.
-SAMPLE, SAMPLE_CHARS, SAMPLE_SENTENCES, LANDMARKS = 800, (60, 4000), 6, 60
+#: The labelled sample, by hash among texts of so many characters: texts in all, so that untrue labels stand in it as often as
+#: in the corpus, and texts of each language at least; sentences of each text; landmarks per language.  Only the fit is
+#: bounded by these; every record is scored whole.
+SAMPLE, SAMPLE_EACH, SAMPLE_CHARS, SAMPLE_SENTENCES, LANDMARKS = 8000, 400, (60, 4000), 6, 40
 RIDGE, GRAMS = 0.1, (1, 2, 3, 4)
 #: A sentence that the first fit contradicts keeps its label if so many copies carry one and this share of them agree.
 COPIES, AGREE = 3, 0.6
@@ -52,7 +53,7 @@ SEEDS = {
 _NOISE = re.compile(
     r"https?://\S+|\S+@\S+|\b\w+\.(?:jpe?g|png|pdf|txt|mp4|zip|gif|heic|mov)\b|\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|«[^»\n]{1,120}»"
     # names: capitalised words in a row, or one before a number or a code
-    r"|(?:\b[A-ZÀ-Þ][\w’'-]*[ -]+)(?:(?:[A-ZÀ-Þ][\w’'-]*|\d[\w.,]*)(?:[ -]+|\b))+"
+    r"|(?:(?<![A-Za-zÀ-ɏ])[A-ZÀ-Þ][A-Za-zÀ-ɏ\d_’'-]*[ -]+)(?:(?:[A-ZÀ-Þ][A-Za-zÀ-ɏ\d_’'-]*|\d[A-Za-z\d_.,]*)(?:[ -]+|(?![A-Za-zÀ-ɏ\d_])))+"
     r"|(?<![A-Za-z])[A-Z][a-z]+(?:-\d+)?(?: [A-Z][a-z]+| [A-Z]?\d+)+|(?<![A-Za-z\d])[A-Za-z]*\d[A-Za-z\d.,]*|<[^<>\n]{1,60}>"
 )
 _OTHER = re.compile(r"[\W\d_]+")
@@ -135,7 +136,8 @@ def _fit(cleaned: list[str], y: np.ndarray, landmarks: int, ridge: float, weight
     target = np.where(y[:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
     weight = np.ones(len(y)) if weight is None else weight
     n = np.maximum(1, np.bincount(y, weights=weight, minlength=len(LANGUAGES)))
-    w = weight * len(y) / len(n) / n[y]  # languages weigh alike
+    w = weight / np.sqrt(n[y])  # between languages that weigh alike and examples that do
+    w *= len(y) / w.sum()
     a = np.linalg.solve(z.T @ (z * w[:, None]) + ridge * np.eye(z.shape[1]), z.T @ (target * w[:, None]))
     return (across @ (white @ a)).astype(np.float32)
 
@@ -176,18 +178,19 @@ def named_language(locale: Column) -> Column:
     return F.when(part.isin(*LANGUAGES), part)
 
 
-def labelled_sentences(df: DataFrame, text: str, label: Column, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Sentences of up to ``sample`` texts of each language, by hash; the only part that is bounded by a parameter.
+def labelled_sentences(df: DataFrame, text: str, label: Column, sample: int = SAMPLE, each: int = SAMPLE_EACH) -> tuple[list[str], list[str]]:
+    """Sentences of ``sample`` texts, and of ``each`` of each language at least, by hash; the only part that is bounded by parameters.
 
     Hashes are ranked first, so that texts needn't move; of copies with different labels the least label counts.
     """
     rows = df.select(F.col(text).alias("t"), label.alias("l"), F.xxhash64(F.col(text)).alias("o")).filter(F.col("l").isNotNull() & F.length("t").between(*SAMPLE_CHARS))
     distinct = rows.groupBy("o").agg(F.min("l").alias("l"))
     # A filter on the row number is pushed into the partial stage: no language is gathered in one task before the cut.
-    chosen = distinct.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("o"))).filter(F.col("n") <= sample).select("o", "l")
+    least = distinct.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("o"))).filter(F.col("n") <= each).select("o", "l")
+    chosen = least.union(distinct.select("o", "l").orderBy("o").limit(sample)).dropDuplicates(["o"])
     texts = rows.select("o", "t").join(F.broadcast(chosen), "o").groupBy("o").agg(F.min("t").alias("t"), F.min("l").alias("l"))
     cleaned, labels = [], []
-    for r in texts.orderBy("l", "o").collect():  # at most ``sample`` rows a language
+    for r in texts.orderBy("l", "o").collect():  # bounded by the parameters
         for s in [c for c in map(clean, sentences(r["t"])) if len(c) >= 16][:SAMPLE_SENTENCES]:
             cleaned.append(s)
             labels.append(r["l"])
