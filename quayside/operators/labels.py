@@ -10,24 +10,50 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.functions import rule_tables as T
-from quayside.functions.rules import hit, sql_hit
+from quayside.functions import text as X
+from quayside.functions.rules import Hits, hit, spread, sql_hit
 from quayside.session import table
 
 
-def relevance(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``relevance`` and ``relevance_score`` by an ordered cascade; each pattern is evaluated once, as a column."""
-    flags = {"_signal": hit(text, T.SEARCH_SIGNAL), "_undecided": hit(text, T.UNDECIDED), "_menu": hit(text, T.MENU_TROUBLE)}
-    flags |= {f"_{n}": hit(text, p) for n, p in T.THEMES_OUTSIDE.rules} | {f"_u_{n}": hit(text, p) for n, p in T.THEMES_UNLESS}
-    out = df.withColumns(flags)
-    outside = F.col("_menu")
+def _outside(prefix: str) -> Column:
+    """Whether a text is about a theme outside, from the flags that :func:`_flags` gives."""
+    f = lambda n: F.col(prefix + n)
+    out = f("menu")
     for n in T.THEMES_OUTSIDE.names:
-        outside = outside | (F.col(f"_{n}") & ~F.col("_signal"))
+        out = out | (f(n) & ~f("signal"))
     for n, _ in T.THEMES_UNLESS:
-        outside = outside | (F.col(f"_{n}") & ~F.col(f"_u_{n}"))
-    empty = F.coalesce(F.trim(text) == "", F.lit(True))
-    label = F.when(empty, "unrelated").when(F.col("_undecided") & ~F.col("_signal"), "ambiguous").when(outside, "unrelated").when(F.col("_signal"), "retrieval_related").otherwise("unrelated")
-    score = F.when(empty, 0.9).when(F.col("_undecided") & ~F.col("_signal"), 0.55).when(outside, 0.86).when(F.col("_signal"), 0.88).otherwise(0.72)
-    return out.withColumns({"relevance": label, "relevance_score": score}).drop(*flags)
+        out = out | (f(n) & ~f("u_" + n))
+    return out
+
+
+def _flags(text: Hits, prefix: str) -> dict[str, Column]:
+    flags = {"signal": hit(text, T.SEARCH_SIGNAL), "undecided": hit(text, T.UNDECIDED), "menu": hit(text, T.MENU_TROUBLE)}
+    flags |= {n: hit(text, p) for n, p in T.THEMES_OUTSIDE.rules} | {f"u_{n}": hit(text, p) for n, p in T.THEMES_UNLESS}
+    return {prefix + n: c for n, c in flags.items()}
+
+
+def relevance(df: DataFrame, text: str = "text", source: str | None = None, title: str | None = None) -> DataFrame:
+    """Add ``relevance`` and ``relevance_score`` by an ordered cascade; each pattern is evaluated once, as a column.
+
+    Of help pages (where ``source`` is given) the page's own words don't count; a page whose title is about a theme
+    outside is unrelated whatever stands in it.
+    """
+    helps = F.col(source) == "help_community" if source else F.lit(False)
+    named = X.help_title(F.col(title)) if title else F.lit("")
+    out = df.withColumns({"_r_title": F.when(helps, named), "_r_text": F.when(helps, X.strip_chrome(F.col(text), F.col(title) if title else F.lit(None).cast("string"))).otherwise(F.col(text)) if source else F.col(text)})
+    body, named = Hits("_r_text", "_r_hits"), Hits("_r_title", "_t_hits")
+    flags = _flags(body, "_r_")
+    out = body.add(out, flags)
+    if source and title:
+        flags |= (more := _flags(named, "_t_"))
+        out = named.add(out, more)
+    titled = F.coalesce(helps & (F.length("_r_title") > 0) & _outside("_t_") & ~F.col("_t_signal"), F.lit(False)) if source and title else F.lit(False)
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    empty = blank(text) | titled | blank("_r_text")
+    undecided = F.col("_r_undecided") & ~F.col("_r_signal")
+    label = F.when(empty, "unrelated").when(undecided, "ambiguous").when(_outside("_r_"), "unrelated").when(F.col("_r_signal"), "retrieval_related").otherwise("unrelated")
+    score = F.when(empty, 0.9).when(undecided, 0.55).when(_outside("_r_"), 0.86).when(F.col("_r_signal"), 0.88).otherwise(0.72)
+    return out.withColumns({"relevance": label, "relevance_score": score}).drop("_r_title", "_r_text", *flags)
 
 
 def _relevance_sql(text: str = "text") -> str:
@@ -54,39 +80,37 @@ def alias(label: Column, aliases: dict[str, str] = T.ALIASES) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[label], label)
 
 
-def tone(text: Column | str) -> Column:
+def tone(text: Hits) -> Column:
     """positive, negative or neutral: outcomes count twice, words of tone only where outcomes are even."""
-    pos = sum((2 * hit(text, p).cast("int") for p in T.POSITIVE_OUTCOMES), F.lit(0))
-    neg = sum((2 * hit(text, p).cast("int") for p in T.NEGATIVE_OUTCOMES), F.lit(0))
-    good, bad = hit(text, T.POSITIVE_TONE), hit(text, T.NEGATIVE_TONE)
+    pos = sum((2 * text(p).cast("int") for p in T.POSITIVE_OUTCOMES), F.lit(0))
+    neg = sum((2 * text(p).cast("int") for p in T.NEGATIVE_OUTCOMES), F.lit(0))
+    good, bad = text(T.POSITIVE_TONE), text(T.NEGATIVE_TONE)
     return F.when(pos > neg, "positive").when(neg > pos, "negative").when(good & ~bad, "positive").when(bad & ~good, "negative").otherwise("neutral")
 
 
-def forum_reply(text: str, source: str, kind: Column) -> Column:
-    advice, own = hit(text, T.FORUM_SOLUTION), hit(text, T.OWN_PAIN)
-    short = (F.length(text) < 160) & hit(text, T.QUESTION_ONLY) & ~own
+def forum_reply(text: Hits, source: str, kind: Column) -> Column:
+    advice, own = text(T.FORUM_SOLUTION), text(T.OWN_PAIN)
+    short = (F.length(text.text) < 160) & text(T.QUESTION_ONLY) & ~own
     forum = F.col(source).isin("reddit", "help_community")
     return F.coalesce(((F.col(source) == "reddit") & (kind == "comment") & short) | ((F.col(source) == "help_community") & (kind == "reply")) | (forum & advice & ~own), F.lit(False))
 
 
-def signal(text: str, reply: Column) -> Column:
-    nothing = reply | F.coalesce(F.trim(text) == "", F.lit(True)) | hit(text, T.OVERALL_ONLY)
-    return F.when(nothing, "no_signal").when(hit(text, T.SUGGESTION) | hit(text, T.PAIN), "actionable").otherwise("no_signal")
+def signal(text: Hits, reply: Column) -> Column:
+    nothing = reply | F.coalesce(F.trim(text.text) == "", F.lit(True)) | text(T.OVERALL_ONLY)
+    return F.when(nothing, "no_signal").when(text(T.SUGGESTION) | text(T.PAIN), "actionable").otherwise("no_signal")
 
 
-def suggestion(text: Column | str) -> Column:
-    return hit(text, T.SUGGESTION) & hit(text, T.SEARCHISH) & ~(hit(text, T.NOT_SEARCH_SUGGESTION) & ~hit(text, T.SEARCH_SUGGESTION))
+def suggestion(text: Hits) -> Column:
+    return text(T.SUGGESTION) & text(T.SEARCHISH) & ~(text(T.NOT_SEARCH_SUGGESTION) & ~text(T.SEARCH_SUGGESTION))
 
 
-def segments(text: str) -> dict[str, Column]:
-    device = F.lower(F.regexp_extract(text, f"(?Ui){T.DEVICE}", 1))
-    country = F.regexp_extract(text, f"(?Ui){T.COUNTRY}", 1)
+def segments(text: Hits) -> dict[str, Column]:
     family = F.create_map(*[F.lit(x) for kv in T.DEVICE_FAMILY.items() for x in kv])
     return {
-        "library_size": F.when(hit(text, T.LARGE_LIBRARY), "large").otherwise("unknown"),
-        "photo_age": F.when(hit(text, T.YEARS_OLD), "years_old").when(hit(text, T.RECENT), "recent").otherwise("unknown"),
-        "device": F.coalesce(family[device], F.lit("unknown")),
-        "geo": F.when(F.length(country) > 0, country).otherwise("unknown"),
+        "library_size": F.when(text(T.LARGE_LIBRARY), "large").otherwise("unknown"),
+        "photo_age": F.when(text(T.YEARS_OLD), "years_old").when(text(T.RECENT), "recent").otherwise("unknown"),
+        "device": F.coalesce(family[F.lower(text.group(T.DEVICE))], F.lit("unknown")),
+        "geo": F.coalesce(F.nullif(text.group(T.COUNTRY), F.lit("")), F.lit("unknown")),
     }
 
 
@@ -110,30 +134,73 @@ def engagement(source: str, payload: str) -> dict[str, Column]:
 
 
 def annotate(df: DataFrame, text: str = "text", source: str = "source", kind: Column | None = None) -> DataFrame:
-    """All tags of an item at once, the reply flag being computed first."""
-    out = df.withColumn("is_forum_reply", forum_reply(text, source, F.lit("") if kind is None else kind))
+    """All tags of an item at once, the reply flag being computed first; labels carry a quote each, or none where there is none.
+
+    ``kind`` (post, comment, reply) is that of the raw record.
+    """
+    h, none = Hits(text), F.array().cast("array<string>")
     reply = F.col("is_forum_reply")
-    out = out.withColumns({"signal": signal(text, reply), "tone": tone(text), "is_suggestion": suggestion(text)} | segments(text))
-    types = F.when(reply, F.array().cast("array<string>")).otherwise(T.SEARCH_TYPES.labels(text))
-    pains = F.when(F.col("signal") == "actionable", with_parents(T.PAIN_POINTS.labels(text))).otherwise(F.array().cast("array<string>"))
-    return out.withColumns({"search_types": types, "labels": pains})
+    first = {"is_forum_reply": forum_reply(h, source, F.lit("") if kind is None else kind)}
+    then = {"signal": signal(h, reply), "tone": tone(h), "is_suggestion": suggestion(h) & ~reply} | segments(h)
+    then |= {"search_types": F.when(reply, none).otherwise(T.SEARCH_TYPES.labels(h)), "labels": F.when(F.col("signal") == "actionable", with_parents(T.PAIN_POINTS.labels(h))).otherwise(none)}
+    last = {n: then.pop(n) for n in ("search_types", "labels")}
+    out = h.attach(df).withColumns(first).withColumns(then).withColumns(last).drop(h.out)
+    some = F.size("labels") > 0
+    return out.withColumns({"snippets": F.when(some & (F.trim(text) != ""), F.array(X.fallback_snippet(F.col(text)))).otherwise(none), "label_confidence": F.when(some, 0.64).otherwise(0.0), "label_source": F.lit("rules")})
+
+
+def apply_curated(tagged: DataFrame, curated: DataFrame, text: str = "text") -> DataFrame:
+    """Reviewed labels in place of those of the rules, by key ``source:native_id``; other items stay as they are.
+
+    ``tagged`` as of :func:`annotate` with ``source``, ``native_id``, ``relevance`` and ``relevance_score``; ``curated``
+    (key, in_scope, is_forum_reply, signal, sentiment, pain_points, search_types, is_suggestion, label_source), one row a
+    key.  Labels count only where an item is in scope and its signal actionable; aliases are resolved, unknown nodes
+    dropped, parents added.
+    """
+    known = F.array(*map(F.lit, dict.fromkeys([*T.PAIN_POINTS.names, *T.PARENTS.values(), *T.FIRST_LABELS.names])))
+    none = F.array().cast("array<string>")
+    c = curated.select(F.col("key").alias("_key"), F.struct(*[x for x in curated.columns if x != "key"]).alias("_c"))
+    has_source = "label_source" in curated.columns
+    key = F.when((F.length("source") > 0) & (F.length("native_id") > 0), F.concat_ws(":", "source", "native_id"))
+    out = tagged.withColumn("_k", key).join(c, F.col("_k") == F.col("_key"), "left")
+    got, reply = F.col("_c").isNotNull(), F.coalesce(F.col("_c.is_forum_reply"), F.lit(False))
+    scope = F.coalesce(F.col("_c.in_scope"), F.lit(False))
+    own = F.array_distinct(F.transform(F.coalesce("_c.pain_points", none), lambda x: alias(x)))
+    counted = F.coalesce(scope & (F.col("_c.signal") == "actionable"), F.lit(False))
+    labels = F.when(counted, with_parents(F.array_intersect(own, known))).otherwise(none)
+    asked = F.when(reply, none).otherwise(F.coalesce("_c.search_types", none))
+    # The type of the search field itself is told from the text beside the reviewed ones.
+    field = dict(T.SEARCH_TYPES.rules)["search_ai_search"]
+    h = Hits(text, "_field")
+    types = F.when(~reply & h(field), F.array_union(asked, F.array(F.lit("search_ai_search")))).otherwise(asked)
+    new = {
+        "relevance": F.when(scope, "retrieval_related").otherwise("unrelated"), "relevance_score": F.lit(1.0), "labels": labels, "search_types": types,
+        "tone": F.coalesce(F.nullif("_c.sentiment", F.lit("")), F.lit("neutral")), "signal": F.when(reply, "no_signal").otherwise(F.coalesce("_c.signal", F.lit("no_signal"))),
+        "is_forum_reply": reply, "is_suggestion": F.coalesce("_c.is_suggestion", F.lit(False)) & ~reply, "label_confidence": F.when(F.size(labels) > 0, 1.0).otherwise(0.0),
+        "snippets": F.when(F.size(labels) > 0, F.array(X.fallback_snippet(F.col(text)))).otherwise(none), "label_source": F.coalesce(F.col("_c.label_source") if has_source else F.lit(None), F.lit("curated")),
+    }
+    return h.attach(out).withColumns({n: F.when(got, x).otherwise(F.col(n)) for n, x in new.items() if n in tagged.columns}).drop("_k", "_key", "_c", h.out)
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "feedback_item").select("id", "source", "text")
+    return spread(table(spark, sf_dir, "feedback_item").select("id", "source", "text"))
 
 
 def relevance_cascade(spark, sf_dir):
-    return relevance(_items(spark, sf_dir)).select("id", "relevance", "relevance_score")
+    """Relevance of items, of help pages without the page's own words."""
+    return relevance(_items(spark, sf_dir), "text", "source").select("id", "relevance", "relevance_score")
 
 
 def multi_label_explode(spark, sf_dir):
-    x = _items(spark, sf_dir).select("id", F.explode(T.FIRST_LABELS.labels("text")).alias("label"))
+    h = Hits()
+    x = h.add(_items(spark, sf_dir), {"l": T.FIRST_LABELS.labels(h)}).select("id", F.explode("l").alias("label"))
     return x.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("id").alias("items"))
 
 
 def parent_promotion(spark, sf_dir):
-    x = _items(spark, sf_dir).withColumn("own", T.PAIN_POINTS.labels("text"))
+    """Labels of actionable items with their parents."""
+    h = Hits()
+    x = h.add(_items(spark, sf_dir), {"signal": signal(h, F.lit(False)), "own": T.PAIN_POINTS.labels(h)}).filter("signal = 'actionable'")
     x = x.select("id", F.explode(with_parents(F.col("own"))).alias("label"))
     return x.groupBy("label").agg(F.count("*").alias("n"))
 
@@ -144,58 +211,90 @@ def label_alias_counts(spark, sf_dir):
 
 
 def sentiment_vote(spark, sf_dir):
-    return _items(spark, sf_dir).select("id", tone("text").alias("tone"))
+    h = Hits()
+    return h.add(_items(spark, sf_dir), {"tone": tone(h)}).select("id", "tone")
 
 
 def signal_mix(spark, sf_dir):
-    return _items(spark, sf_dir).groupBy(signal("text", F.lit(False)).alias("signal"), tone("text").alias("tone"), suggestion("text").alias("is_suggestion")).agg(F.count("*").alias("n"))
+    """Items by signal, tone and suggestion, replies in forums being no signal."""
+    h = Hits()
+    reply = forum_reply(h, "source", F.col("kind"))
+    x = h.add(_with_kind(spark, sf_dir), {"reply": reply, "signal": signal(h, reply), "tone": tone(h), "is_suggestion": suggestion(h) & ~reply})
+    return x.groupBy("signal", "tone", "is_suggestion").agg(F.count("*").alias("n"))
 
 
 def forum_replies(spark, sf_dir):
-    x = _items(spark, sf_dir).withColumn("reply", forum_reply("text", "source", F.lit("comment")))
-    return x.groupBy("source").agg(F.count_if("reply").alias("replies"), F.count("*").alias("n"))
+    """Replies by source and kind; every third help item without a kind stands for a reply, which the tables have none of."""
+    kind = F.when((F.col("source") == "help_community") & (F.length("text") % 3 == 0), "reply").otherwise(F.coalesce("kind", F.lit("")))
+    h = Hits()
+    x = h.add(_with_kind(spark, sf_dir).withColumn("kind", kind), {"reply": forum_reply(h, "source", F.col("kind"))})
+    return x.groupBy("source", "kind").agg(F.count_if("reply").alias("replies"), F.count("*").alias("n"))
 
 
 def type_by_sentiment(spark, sf_dir):
-    x = _items(spark, sf_dir).select(F.explode(T.SEARCH_TYPES.labels("text")).alias("type"), tone("text").alias("tone"))
+    h = Hits()
+    x = h.add(_items(spark, sf_dir), {"types": T.SEARCH_TYPES.labels(h), "tone": tone(h)}).select(F.explode("types").alias("type"), "tone")
     g = x.groupBy("type").pivot("tone", ["positive", "negative", "neutral"]).count()
     return g.select("type", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("positive", "negative", "neutral")]).withColumn("total", F.col("positive") + F.col("negative") + F.col("neutral"))
 
 
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = Hits()
+    return h.add(_items(spark, sf_dir), columns := segments(h)).select("id", *columns)
+
+
 def segment_tags(spark, sf_dir):
-    return _items(spark, sf_dir).select("id", *[c.alias(n) for n, c in segments("text").items()])
+    return _segmented(spark, sf_dir)
 
 
 def segment_rollup(spark, sf_dir):
-    x = _items(spark, sf_dir).select(*[c.alias(n) for n, c in segments("text").items()])
+    x = _segmented(spark, sf_dir)
     keys = ["library_size", "photo_age", "device", "geo"]
-    counted = x.unpivot([], keys, "key", "value").groupBy("key", "value").agg(F.count("*").alias("n"))
+    counted = x.drop("id").unpivot([], keys, "key", "value").groupBy("key", "value").agg(F.count("*").alias("n"))
     zero = spark.createDataFrame([(k, "unknown", 0) for k in keys], "key string, value string, n bigint")
     return counted.unionByName(zero).groupBy("key", "value").agg(F.sum("n").alias("n"))
 
 
 def unknown_rates(spark, sf_dir):
-    x = _items(spark, sf_dir).select(*[c.alias(n) for n, c in segments("text").items()])
+    x = _segmented(spark, sf_dir)
     rate = lambda k: F.round(F.coalesce(F.avg(F.when(F.coalesce(F.nullif(F.col(k), F.lit("")), F.lit("unknown")) == "unknown", 1.0).otherwise(0.0)), F.lit(1.0)), 4).alias(k)
     return x.agg(*[rate(k) for k in ("library_size", "photo_age", "device", "geo")])
 
 
 def overlay_summary(spark, sf_dir):
-    x = _items(spark, sf_dir).withColumn("labels", with_parents(F.concat(T.FIRST_LABELS.labels("text"), T.PAIN_POINTS.labels("text"))))
-    g = x.agg(*[F.count_if(overlay(F.col("labels")) == v).alias(v) for v in ("support", "contradict", "insufficient")])
+    h = Hits()
+    x = h.add(_items(spark, sf_dir), {"labels": with_parents(F.concat(T.FIRST_LABELS.labels(h), T.PAIN_POINTS.labels(h)))}).select(overlay(F.col("labels")).alias("o"))
+    g = x.agg(*[F.count_if(F.col("o") == v).alias(v) for v in ("support", "contradict", "insufficient")])
     # Plurality, of equals the one named first.
     best = F.array_max(F.array(*[F.struct(F.col(v).alias("n"), F.lit(-i).alias("o"), F.lit(v).alias("v")) for i, v in enumerate(("support", "contradict", "insufficient"))]))
     return g.withColumn("overall", best["v"])
 
 
 def impact_features(spark, sf_dir):
-    return _items(spark, sf_dir).select("id", hit("text", T.FRUSTRATION).cast("double").alias("frustration"), hit("text", T.EMOTION).cast("double").alias("emotion"))
+    h = Hits()
+    return h.add(_items(spark, sf_dir), {"frustration": h(T.FRUSTRATION).cast("double"), "emotion": h(T.EMOTION).cast("double")}).select("id", "frustration", "emotion")
+
+
+def rank_of() -> Column:
+    """The first of helpful votes, score and replies that isn't 0."""
+    return F.coalesce(F.nullif("helpful_votes", F.lit(0)), F.nullif("score", F.lit(0)), F.nullif("reply_count", F.lit(0)), F.lit(0))
 
 
 def engagement_rank(spark, sf_dir):
     c = table(spark, sf_dir, "collected_item").select("raw_record_id", "source", "raw_api_payload")
     e = c.select("raw_record_id", *[x.alias(n) for n, x in engagement("source", "raw_api_payload").items()])
-    return e.withColumn("rank", F.coalesce(F.nullif("helpful_votes", F.lit(0)), F.nullif("score", F.lit(0)), F.nullif("reply_count", F.lit(0)), F.lit(0)))
+    return e.withColumn("rank", rank_of())
+
+
+def post_kind(payload: Column) -> Column:
+    """post, comment or reply, as the raw payload names it; an empty text where it doesn't."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(payload), "$.kind", "string"), F.lit(""))
+
+
+def _with_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "collected_item").select("raw_record_id", post_kind(F.col("raw_api_payload")).alias("kind"))
+    f = table(spark, sf_dir, "feedback_item").select("id", "raw_record_id", "source", "text")
+    return spread(f).join(c, "raw_record_id", "left")
 
 
 QUERIES = {f.__name__: f for f in (relevance_cascade, multi_label_explode, parent_promotion, label_alias_counts, sentiment_vote, signal_mix, forum_replies, type_by_sentiment, segment_tags, segment_rollup, unknown_rates, overlay_summary, impact_features, engagement_rank)}
@@ -209,8 +308,10 @@ _TONE_CTE = (
     f" {sql_hit(_S, T.POSITIVE_TONE)} as g, {sql_hit(_S, T.NEGATIVE_TONE)} as b from feedback_item), toned as (select *, {_TONE} as tone from t)"
 )
 _PARENT_SQL = "case label " + " ".join(f"when '{c}' then '{p}'" for c, p in T.PARENTS.items()) + " end"
-_SUGGESTION_SQL = f"({sql_hit(_S, T.SUGGESTION)} and {sql_hit(_S, T.SEARCHISH)} and not ({sql_hit(_S, T.NOT_SEARCH_SUGGESTION)} and not {sql_hit(_S, T.SEARCH_SUGGESTION)}))"
+SUGGESTION_SQL = f"({sql_hit(_S, T.SUGGESTION)} and {sql_hit(_S, T.SEARCHISH)} and not ({sql_hit(_S, T.NOT_SEARCH_SUGGESTION)} and not {sql_hit(_S, T.SEARCH_SUGGESTION)}))"
 _SIGNAL_SQL = f"case when coalesce(trim(text, ' ') = '', true) or {sql_hit(_S, T.OVERALL_ONLY)} then 'no_signal' when {sql_hit(_S, T.SUGGESTION)} or {sql_hit(_S, T.PAIN)} then 'actionable' else 'no_signal' end"
+_KIND_SQL = "coalesce(case when json_valid(c.raw_api_payload) then c.raw_api_payload::json->>'$.kind' end, '')"
+_REPLY_SQL = f"coalesce((source = 'reddit' and kind = 'comment' and length(text) < 160 and {sql_hit(_S, T.QUESTION_ONLY)} and not {sql_hit(_S, T.OWN_PAIN)}) or (source = 'help_community' and kind = 'reply') or (source in ('reddit', 'help_community') and {sql_hit(_S, T.FORUM_SOLUTION)} and not {sql_hit(_S, T.OWN_PAIN)}), false)"
 _q = lambda p: p.replace("'", "''")
 _DEVICE_SQL = f"lower(regexp_extract(text, '(?i){_q(T.DEVICE)}', 1))"
 _SEGMENT_SQL = (
@@ -222,23 +323,39 @@ _OVER_SQL = f"case when list_has_any(l, {_nodes(T.SUPPORTING_NODES)}) then 'supp
 _BOTH = f"list_concat({T.FIRST_LABELS.sql_labels(_S)}, {T.PAIN_POINTS.sql_labels(_S)})"
 _JSON = "case when json_valid(raw_api_payload) then raw_api_payload::json end"
 _num = lambda *paths: "coalesce(" + ", ".join(f"nullif(try_cast(j->>'{p}' as bigint), 0)" for p in paths) + ", 0)"
+_HELP_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '(Skip to main content|Google Photos Help|Sign in|Google Help|Help Center(?: experience)?|Community Policy|Community Overview|Privacy Policy|Terms of Service|Submit feedback|Send feedback(?: about our Help Center)?|This help content & information|General Help Center experience|Enable Dark Mode|Google apps|Main menu|Clear search|Close search|Search Help Center|Can''t find your photos\?|Notification|©\s*20\d{2}\s*Google|false|true|Close Next|Next Help Center Community)', ' ', 'gi'), '\bSearch\b(?:\s+\d+)?', ' ', 'gi'), '\b\d{6,}\b', ' ', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g')"
+ENGAGEMENT_SQL = f"with x as (select raw_record_id, source, {_JSON} as j from collected_item), e as (select raw_record_id, cast(case source when 'app_store' then {_num('$.\"im:voteCount\".label', '$.entry.\"im:voteCount\".label')} when 'play_store' then {_num('$.thumbsUpCount', '$.thumbsUp', '$.thumbs')} else 0 end as bigint) as helpful_votes, cast(case source when 'app_store' then {_num('$.\"im:rating\".label', '$.\"im:rating\"', '$.entry.\"im:rating\".label', '$.entry.\"im:rating\"')} when 'play_store' then {_num('$.score', '$.thumbsUpCount')} else 0 end as bigint) as star_score, cast(case source when 'help_community' then {_num('$.reply_count')} else 0 end as bigint) as reply_count, cast(case source when 'reddit' then {_num('$.score', '$.ups')} else 0 end as bigint) as score from x) select *, cast(coalesce(nullif(helpful_votes, 0), nullif(score, 0), nullif(reply_count, 0), 0) as bigint) as rank from e"
 ORACLES = {
-    "relevance_cascade": f"select id, {_relevance_sql()} from feedback_item",
+    "relevance_cascade": f"with f as (select * from feedback_item), h as (select id, case when source = 'help_community' then {_HELP_SQL} else text end as text from f) select id, {_relevance_sql()} from h",
     "multi_label_explode": f"with x as (select id, unnest({T.FIRST_LABELS.sql_labels(_S)}) as label from feedback_item) select label, count(*) as n, count(distinct id) as items from x group by label",
-    "parent_promotion": f"with x as (select id, unnest({T.PAIN_POINTS.sql_labels(_S)}) as label from feedback_item), y as (select id, label from x union select id, {_PARENT_SQL} from x) select label, count(*) as n from y where label is not null group by label",
+    "parent_promotion": f"with x as (select id, unnest({T.PAIN_POINTS.sql_labels(_S)}) as label from feedback_item where {_SIGNAL_SQL} = 'actionable'), y as (select id, label from x union select id, {_PARENT_SQL} from x) select label, count(*) as n from y where label is not null group by label",
     "label_alias_counts": "with x as (select case taxonomy_node_id when 'knowledge_hidden_features' then 'knowledge_unknown_capability' else taxonomy_node_id end as label, feedback_item_id from classification) select label, count(distinct feedback_item_id) as items, count(*) as n from x group by label",
     "sentiment_vote": f"with {_TONE_CTE} select id, tone from toned",
-    "signal_mix": f"with {_TONE_CTE} select {_SIGNAL_SQL} as signal, tone, {_SUGGESTION_SQL} as is_suggestion, count(*) as n from toned group by all",
-    "forum_replies": f"with x as (select source, coalesce((source = 'reddit' and length(text) < 160 and {sql_hit(_S, T.QUESTION_ONLY)} and not {sql_hit(_S, T.OWN_PAIN)}) or (source in ('reddit', 'help_community') and {sql_hit(_S, T.FORUM_SOLUTION)} and not {sql_hit(_S, T.OWN_PAIN)}), false) as reply from feedback_item) select source, count(*) filter (reply) as replies, count(*) as n from x group by source",
+    "signal_mix": f"with {_TONE_CTE}, k as (select t.*, {_KIND_SQL} as kind from toned t left join collected_item c using (raw_record_id)), r as (select *, {_REPLY_SQL} as reply from k) select case when reply then 'no_signal' else {_SIGNAL_SQL} end as signal, tone, {SUGGESTION_SQL} and not reply as is_suggestion, count(*) as n from r group by all",
+    "forum_replies": f"with f as (select * from feedback_item), k as (select f.*, case when f.source = 'help_community' and length(f.text) % 3 = 0 then 'reply' else {_KIND_SQL} end as kind from f left join collected_item c using (raw_record_id)), r as (select *, {_REPLY_SQL} as reply from k) select source, kind, count(*) filter (reply) as replies, count(*) as n from r group by source, kind",
     "type_by_sentiment": f"with {_TONE_CTE}, x as (select unnest({T.SEARCH_TYPES.sql_labels(_S)}) as type, tone from toned) select type, count(*) filter (tone = 'positive') as positive, count(*) filter (tone = 'negative') as negative, count(*) filter (tone = 'neutral') as neutral, count(*) as total from x group by type",
     "segment_tags": f"select id, {_SEGMENT_SQL} from feedback_item",
     "segment_rollup": f"with x as (select {_SEGMENT_SQL} from feedback_item), u as (unpivot x on library_size, photo_age, device, geo into name key value value), z as (select key, value, 1 as n from u union all select unnest(['library_size', 'photo_age', 'device', 'geo']), 'unknown', 0) select key, value, cast(sum(n) as bigint) as n from z group by key, value",
     "unknown_rates": f"with x as (select {_SEGMENT_SQL} from feedback_item) select " + ", ".join(f"round(coalesce(avg(case when {k} = 'unknown' then 1.0 else 0.0 end), 1.0), 4) as {k}" for k in ("library_size", "photo_age", "device", "geo")) + " from x",
     "overlay_summary": f"with x as (select {_BOTH} as own from feedback_item), y as (select list_concat(own, list_filter(list_transform(own, lambda label: {_PARENT_SQL}), lambda p: p is not null)) as l from x), o as (select {_OVER_SQL} as v from y), c as (select count(*) filter (v = 'support') as support, count(*) filter (v = 'contradict') as contradict, count(*) filter (v = 'insufficient') as insufficient from o) select *, case when support >= contradict and support >= insufficient then 'support' when contradict >= insufficient then 'contradict' else 'insufficient' end as overall from c",
     "impact_features": f"select id, cast({sql_hit(_S, T.FRUSTRATION)} as double) as frustration, cast({sql_hit(_S, T.EMOTION)} as double) as emotion from feedback_item",
-    "engagement_rank": f"with x as (select raw_record_id, source, {_JSON} as j from collected_item), e as (select raw_record_id, cast(case source when 'app_store' then {_num('$.\"im:voteCount\".label', '$.entry.\"im:voteCount\".label')} when 'play_store' then {_num('$.thumbsUpCount', '$.thumbsUp', '$.thumbs')} else 0 end as bigint) as helpful_votes, cast(case source when 'app_store' then {_num('$.\"im:rating\".label', '$.\"im:rating\"', '$.entry.\"im:rating\".label', '$.entry.\"im:rating\"')} when 'play_store' then {_num('$.score', '$.thumbsUpCount')} else 0 end as bigint) as star_score, cast(case source when 'help_community' then {_num('$.reply_count')} else 0 end as bigint) as reply_count, cast(case source when 'reddit' then {_num('$.score', '$.ups')} else 0 end as bigint) as score from x) select *, cast(coalesce(nullif(helpful_votes, 0), nullif(score, 0), nullif(reply_count, 0), 0) as bigint) as rank from e",
+    "engagement_rank": ENGAGEMENT_SQL,
 }
+_SIGNAL_OF = _SIGNAL_SQL.replace("case when", "case when reply then 'no_signal' when", 1)
+_TAGGED = (
+    f"{_TONE_CTE}, k as (select t.*, '' as kind from toned t), r as (select *, {_REPLY_SQL} as reply from k), g as (select *, {_SIGNAL_OF} as signal, case when reply then [] else {T.SEARCH_TYPES.sql_labels(_S)} end as types from r)"
+)
+KPI_SQL = f"with {_TAGGED.replace('from feedback_item', "from feedback_item where relevance_label = 'retrieval_related'", 1)}, __SUBS__ select count(*) as relevant, count(*) filter ({SUGGESTION_SQL} and not reply) as suggestion_items, count(*) filter (signal = 'actionable') as actionable_count, count(*) filter (len(types) > 0) as search_typed_count, (select count(*) from s) as sub_theme_count, (select count(distinct coalesce(n.parent_id, n.id)) from classification c join taxonomy_node n on n.id = c.taxonomy_node_id join feedback_item f on f.id = c.feedback_item_id where f.relevance_label = 'retrieval_related') as overarching_theme_count from g"
+_OWN_LABELS = f"list_concat(own, list_distinct(list_filter([{', '.join(f"case when list_contains(own, '{c}') then '{p}' end" for c, p in T.PARENTS.items())}], lambda x: x is not null)))"
+CURATED_SQL = (
+    f"with {_TAGGED}, w as (select *, case when signal = 'actionable' then {T.PAIN_POINTS.sql_labels(_S)} else [] end as own from g), h as (select id, case when source = 'help_community' then {_HELP_SQL} else text end as text from toned), v as (select id, {_relevance_sql()} from h),"
+    f" sc as (select f.source || ':' || c.native_id as k, bool_or(f.relevance_label = 'retrieval_related') as scope from feedback_item f join collected_item c using (raw_record_id) where f.relevance_label is not null group by 1), field as (select id, {sql_hit(_S, dict(T.SEARCH_TYPES.rules)['search_ai_search'])} as asked from toned)"
+    " select w.id, case when sc.scope is null then v.relevance when sc.scope then 'retrieval_related' else 'unrelated' end as relevance, case when sc.scope is null then relevance_score else 1.0 end as score, case when sc.scope is null then tone else 'negative' end as tone,"
+    f" case when sc.scope is null then array_to_string({_OWN_LABELS}, ',') when sc.scope then 'knowledge_unknown_capability,system_search_bugs,system_issues,knowledge_awareness_gaps' else '' end as labels,"
+    " case when sc.scope is null then array_to_string(types, ',') when asked then 'places,search_ai_search' else 'places' end as search_types, case when sc.scope is null then 'rules' else 'curated' end as label_source from w join v using (id) join field using (id) join collected_item cc using (raw_record_id) left join sc on sc.k = w.source || ':' || cc.native_id"
+)
 # Bounds of words are Unicode's here and ASCII's in the other engine's patterns: letters beyond ASCII become a plain one there.
-_LETTERS = r"[\x{300}-\x{36F}\x{200C}\x{200D}ªµºÀ-ÖØ-öø-\x{2FF}\x{370}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3005}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}\x{FE70}-\x{FEFC}\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF66}-\x{FFDC}]"
+_LETTERS = r"[ªµºÀ-ÖØ-öø-\x{2FF}\x{370}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3005}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}\x{FE70}-\x{FEFC}\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF66}-\x{FFDC}]"
 PLAIN_ITEMS = f"(select * replace (regexp_replace(text, '{_LETTERS}', 'q', 'g') as text) from feedback_item)"
 ORACLES = {k: v.replace("from feedback_item", f"from {PLAIN_ITEMS} feedback_item") for k, v in ORACLES.items()}
+KPI_SQL, CURATED_SQL = (x.replace("from feedback_item where relevance_label = 'retrieval_related')", f"from {PLAIN_ITEMS} feedback_item where relevance_label = 'retrieval_related')").replace("from feedback_item)", f"from {PLAIN_ITEMS} feedback_item)") for x in (KPI_SQL, CURATED_SQL))

@@ -92,3 +92,33 @@ def merge_second_pass(tagged: DataFrame, second: DataFrame, key: str = "id") ->
 def cited(answer: dict, hits: dict[str, str]) -> list[dict]:
     """Citations of an answer that quote a hit word for word; none of the rest."""
     return [c for c in answer.get("citations") or [] if isinstance(c, dict) and c.get("quote") and c["quote"] in hits.get(str(c.get("id")), "")]
+
+
+SUMMARY = """Summarise what users say about the question, from the evidence alone, in two to four sentences.
+Cite at most two items; every quote must stand word for word in its item.
+Answer with JSON only: {"summary": "...", "citations": [{"id": "...", "quote": "..."}]}
+Question: {{query}}
+Evidence:
+{{evidence}}"""
+
+
+def cited_summary(complete: Callable[[str], str], query: str, hits: dict[str, str]) -> dict | None:
+    """A model's summary with at most two quotes that stand in the hits; None where it has no such quote or no summary."""
+    evidence = "\n".join(f"- id={i}: {t[:800]}" for i, t in list(hits.items())[:8])
+    reply = parse_object(complete(fill(SUMMARY, query=query, evidence=evidence)))
+    if not reply or not str(reply.get("summary") or "").strip():
+        return None
+    quotes = cited(reply, hits)[:2]
+    return {"summary": str(reply["summary"]).strip(), "citations": quotes} if quotes else None
+
+
+def zero_shot(scores: dict[str, float], least: float = 0.5, most: int = 3) -> list[str]:
+    """The labels of a zero-shot classifier's scores: at least ``least``, best first, at most ``most``."""
+    return [k for k, v in sorted(scores.items(), key=lambda x: (-x[1], x[0])) if v >= least][:most]
+
+
+def audit(batch: DataFrame, path: str, run_id: str, provider: str) -> None:
+    """Append what a model pass has answered, (run, key, status, provider, labels), so that a later pass resumes after it."""
+    key = batch.columns[0]
+    rows = batch.select(F.lit(run_id).alias("run_id"), F.col(key).cast("string").alias("key"), "status", F.lit(provider).alias("provider"), "labels", "confidence")
+    rows.write.mode("append").parquet(path)

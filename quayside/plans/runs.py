@@ -60,6 +60,36 @@ class Run:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def has(self, name: str) -> bool:
+        """Whether a table of the run has been written."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        self.guard()
+        df.write.mode("append").parquet(f"{self.path}/{name}")
+
+    def delete(self, name: str, keys: DataFrame, on: list[str]) -> DataFrame:
+        """The table without the rows whose key is among ``keys``; written beside it and then put in its place."""
+        self.guard()
+        return self._swap(name, self.read(name).join(keys.select(*on).distinct(), on, "left_anti"))
+
+    def upsert(self, name: str, rows: DataFrame, on: list[str]) -> DataFrame:
+        self.guard()
+        return self._swap(name, upsert(self.read(name), rows, on))
+
+    def _swap(self, name: str, df: DataFrame) -> DataFrame:
+        new = f"{self.path}/_{name}-{time.time_ns()}"
+        df.write.parquet(new)
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        old, path = hadoop.Path(f"{self.path}/{name}"), hadoop.Path(new)
+        files = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(old, True)
+        if not files.rename(path, old):
+            raise OSError(f"{new} can't be put in the place of {name}")
+        return self.read(name)
+
     def stage(self, name: str, work: Callable[[], dict]) -> dict:
         """Run a stage and keep its receipt, failed or not."""
         self.guard()

@@ -13,7 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.functions.rule_tables import SOURCES
+
 FIELDS = ["native_id", "source", "text", "title", "authored_at", "source_url", "locale", "thread_context", "developer_reply", "has_user_text"]
+#: Column of the place (file, position) a row was read from.
+PLACE = "__place"
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
@@ -25,21 +29,27 @@ def _get(v: Column, path: str, kind: str = "string") -> Column:
 
 
 def _item(df: DataFrame, **columns: Column) -> DataFrame:
-    out = df.select(*[columns.get(f, F.lit(None).cast("boolean" if f == "has_user_text" else "string")).alias(f) for f in FIELDS])
+    """The fields of an item, and the place it was read from where the rows have one."""
+    place = [F.struct("file", "pos").alias(PLACE)] if "pos" in df.columns else []
+    out = df.select(*[columns.get(f, F.lit(None).cast("boolean" if f == "has_user_text" else "string")).alias(f) for f in FIELDS], *place)
     return out.withColumn("has_user_text", F.coalesce("has_user_text", F.length(F.trim("text")) > 0, F.lit(False)))
 
 
 def _each(df: DataFrame, *paths: str) -> DataFrame:
     """One row per element of the first of the paths that is an array (or the object itself, where a lone one stands)."""
     arrays = F.coalesce(*[F.coalesce(_get(F.col("v"), p, "array<variant>"), F.when(_get(F.col("v"), p, "map<string,variant>").isNotNull(), F.array(_get(F.col("v"), p, "variant")))) for p in paths])
-    return df.select("file", F.explode(arrays).alias("e"))
+    return df.select("file", F.posexplode(arrays).alias("pos", "e"))
+
 
+def first_wins(items: DataFrame, order: tuple[str, ...] = (PLACE,)) -> DataFrame:
+    """One row per (source, native_id): the first by ``order``, nulls last; partial in each partition, so no key is hot.
 
-def first_wins(items: DataFrame, order: str = "source_url") -> DataFrame:
-    """One row per (source, native_id): that of the least order, nulls last; partial in each partition."""
-    rest = [c for c in items.columns if c not in ("source", "native_id")]
-    g = items.groupBy("source", "native_id").agg(F.min_by(F.struct(*rest), F.struct(F.col(order).isNull(), F.coalesce(order, F.lit("")), F.coalesce("text", F.lit("")))).alias("r"))
-    return g.select("source", "native_id", "r.*").select(*items.columns)
+    The place of reading, the order by default, is dropped.
+    """
+    rest = [c for c in items.columns if c not in ("source", "native_id", PLACE)]
+    place = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+    g = items.groupBy("source", "native_id").agg(F.min_by(F.struct(*rest), place).alias("r"))
+    return g.select("source", "native_id", "r.*").select(*[c for c in items.columns if c != PLACE])
 
 
 def app_store_feed(spark: SparkSession, path: str, locale: str | None = None) -> DataFrame:
@@ -63,7 +73,7 @@ def play_rpc(spark: SparkSession, path: str, locale: str | None = None) -> DataF
     nested = _get(F.col("v"), "$[0]", "array<variant>")
     flat = _get(F.col("v"), "$", "array<variant>")
     rows = F.when(_get(F.col("v"), "$[0].reviewId").isNotNull(), flat).otherwise(F.coalesce(nested, flat))
-    e = d.select("file", F.explode(rows).alias("e"))
+    e = d.select("file", F.posexplode(rows).alias("pos", "e"))
     col = F.col("e")
     secs, nanos = _get(col, "$[5][0]", "bigint"), F.coalesce(_get(col, "$[5][1]"), F.lit("0"))
     millis = F.concat(secs.cast("string"), F.rpad(F.substring(nanos, 1, 3), 3, "0")).try_cast("bigint")
@@ -151,20 +161,36 @@ def thread_urls(pages: Column, host: str) -> Column:
     return F.array_distinct(F.transform(own, lambda u: F.concat(F.lit(f"https://{host}/thread/"), F.regexp_extract(u, r"thread/(\d+)", 1))))
 
 
-def export_json(spark: SparkSession, path: str) -> DataFrame:
-    """A whole export: rows of each source under ``raw``; sources without rows are no error."""
+def export_json(spark: SparkSession, path: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """A whole export: rows of each source under ``raw``; sources without rows are no error, a key that stands twice is its first row."""
     d = _whole(spark, path).withColumn("v", F.try_parse_json("value"))
     parts = []
-    for s in ("app_store", "play_store", "reddit", "help_community"):
+    for s in only or SOURCES:
         e = _each(d, f"$.raw.{s}")
         g = lambda n: _get(F.col("e"), f"$.{n}")
-        parts.append(_item(e.filter(_get(F.col("e"), "$.native_id").isNotNull()), native_id=g("native_id"), source=F.lit(s), text=g("text"), title=g("title"), authored_at=g("authored_at"), source_url=g("source_url"), locale=g("storefront"), thread_context=g("thread_context")))
+        locale = {"app_store": g("storefront"), "reddit": g("subreddit")}.get(s, F.lit(None).cast("string"))
+        context = g("thread_context") if s in ("reddit", "help_community") else F.lit(None).cast("string")
+        title = F.lit(None).cast("string") if s == "play_store" else g("title")
+        reply = g("developer_reply") if s == "play_store" else F.lit(None).cast("string")
+        has = F.length(F.trim(g("text"))) > 0
+        e = e.filter(F.length(g("native_id")) > 0)
+        parts.append(_item(e, native_id=g("native_id"), source=F.lit(s), text=F.coalesce(g("text"), F.lit("")), title=title, authored_at=g("authored_at"), source_url=g("source_url"), locale=locale, thread_context=context, developer_reply=reply, has_user_text=F.coalesce(has, F.lit(False))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return first_wins(out)
 
 
+def import_export(old: DataFrame | None, spark: SparkSession, path: str, only: tuple[str, ...] | None = None, replace: bool = True) -> DataFrame:
+    """Items after an import: those of the named sources (all, where none is named) give way, or stay beside new keys."""
+    new = export_json(spark, path, only)
+    if old is None:
+        return new
+    if replace:
+        return old.filter(~F.col("source").isin(*(only or SOURCES))).unionByName(new, allowMissingColumns=True)
+    return old.unionByName(new.join(old.select("source", "native_id"), ["source", "native_id"], "left_anti"), allowMissingColumns=True)
+
+
 def export_receipts(spark: SparkSession, path: str) -> DataFrame:
     """(source, status, notes) of an export; an unknown status counts as partial."""
     d = _whole(spark, path).withColumn("v", F.try_parse_json("value"))
@@ -174,10 +200,12 @@ def export_receipts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def curated_labels(spark: SparkSession, path: str) -> DataFrame:
-    """The last row of each key of JSON lines."""
-    d = spark.read.text(path).select(F.try_parse_json("value").alias("v"), F.monotonically_increasing_id().alias("at"))
-    g = d.withColumn("key", _get(F.col("v"), "$.key")).filter("key is not null").groupBy("key").agg(F.max_by(F.col("v").cast("string"), "at").alias("row"))
-    return g.select("key", F.from_json("row", "in_scope boolean, signal string, sentiment string, pain_points array<string>, search_types array<string>, is_suggestion boolean").alias("l")).select("key", "l.*")
+    """The last row of each key of JSON lines, by file and line; broken lines and those without a key are left out."""
+    d = _whole(spark, path).select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    d = d.withColumn("v", F.try_parse_json("line")).withColumn("key", _get(F.col("v"), "$.key")).filter("key is not null")
+    g = d.groupBy("key").agg(F.max_by("line", F.struct("file", "pos")).alias("row"))
+    fields = "in_scope boolean, oos_reason string, is_forum_reply boolean, signal string, sentiment string, pain_points array<string>, search_types array<string>, is_suggestion boolean, label_source string"
+    return g.select("key", F.from_json("row", fields).alias("l")).select("key", "l.*")
 
 
 def gold_items(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import math
 import os
 import random
+import re
 from datetime import datetime, timezone
 
 import duckdb
@@ -12,12 +13,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.functions import text as X
+from quayside.functions.rules import Hits, needed
+from quayside.functions import rules
 from quayside.operators import labels as L
+from quayside.operators import measures as M
 from quayside.operators import retrieval as R
 from quayside.operators import vectors as V
 from quayside.operators.timestamps import normalise_timestamps, read_timestamp
 from quayside.plans import catalogue
-from quayside.plans.pipeline import EVIDENCE, evidence, insights, run_all, search
+from quayside.plans.pipeline import EVIDENCE, dashboard, evidence, get_item, insights, run_all, search
 from quayside.plans.runs import Frozen, create_run, export, freeze, rebuild, upsert
 from quayside.session import table
 from quayside.sources import readers
@@ -96,7 +100,8 @@ def test_relevance(spark, text, want):
 
 def test_tone_signal_parents(spark):
     df = spark.createDataFrame([("Search is broken and I can't find anything",), ("search is easy and I love it",), ("café search bar is gone, date grouping too",), (None,)], "text string")
-    got = df.select(L.tone("text").alias("t"), L.signal("text", F.lit(False)).alias("s"), L.with_parents(L.T.PAIN_POINTS.labels("text")).alias("l")).collect()
+    h = Hits()
+    got = h.add(df, {"t": L.tone(h), "s": L.signal(h, F.lit(False)), "l": L.with_parents(L.T.PAIN_POINTS.labels(h))}).collect()
     assert [r["t"] for r in got] == ["negative", "positive", "neutral", "neutral"]
     assert got[3]["s"] == "no_signal" and got[3]["l"] == []
     assert got[2]["l"] == ["design_missing_search_control", "design_date_grouping", "design_issues"]
@@ -182,7 +187,7 @@ def test_readers(spark, tmp_path):
     assert readers.parse_thread("<title>Sign in</title>") is None
     out = {"receipts": {"reddit": {"status": "odd", "notes": "n"}}, "raw": {"app_store": [{"native_id": "a", "text": "one", "source_url": "u2"}, {"native_id": "a", "text": "two", "source_url": "u1"}], "reddit": []}}
     path = put("e.json", json.dumps(out))
-    assert [r["text"] for r in readers.export_json(spark, path).collect()] == ["two"]
+    assert [r["text"] for r in readers.export_json(spark, path).collect()] == ["one"]
     assert readers.export_receipts(spark, path).first()["status"] == "partial"
     lines = put("l.jsonl", '{"key":"k","in_scope":true}\n{"key":"k","in_scope":false,"pain_points":["a"]}\nbroken\n')
     assert readers.curated_labels(spark, lines).first()["in_scope"] is False
@@ -203,19 +208,40 @@ def test_run_lifecycle(spark, tmp_path):
     tagged = run.read("tagged_item")
     shown = insights(tagged)
     for kind, counts in shown.items():
-        for value, n in counts.items():
+        for value, n in counts.items() if kind != "kpi" else ():
             assert evidence(tagged, kind, value).count() == n
+    assert evidence(tagged, "suggestion").count() == shown["kpi"]["suggestion_items"]
+    by_tone = [evidence(tagged, "search_type", next(iter(shown["search_type"])), t).count() for t in ("positive", "negative", "neutral")]
+    assert sum(by_tone) == next(iter(shown["search_type"].values()))
+    assert {"raw_record_id", "captured_at"} <= set(tagged.columns) and run.read("label").filter("snippets_json = '[]'").isEmpty()
     assert evidence(tagged, "relevant").count() == sum(shown["source"].values()) and "relevant" in EVIDENCE
     found = search(run, R.Search("search bar shows random pictures"))
     assert found["status"] == "ok" and all(h["quote"] for h in found["hits"])
-    assert search(run, R.Search("capital of France"))["status"] == "out_of_scope"
+    assert search(run, R.Search("capital of France"))["status"] == "out_of_scope" and search(run, R.Search(" "))["status"] == "empty"
+    assert len(found["answer"]["evidence"]) <= 2 and found["answer"]["summary"]
+    assert search(run, R.Search("search bar shows random pictures", sources=("nowhere",)))["status"] == "filtered_out"
+    pain = search(run, R.Search("What are the main pain points around photo search?"))
+    assert pain["answer"]["format"] == "pain_points" and pain["answer"]["evidence"]
+    reply = json.dumps({"summary": "They miss pictures.", "citations": [{"id": found["hits"][0]["id"], "quote": found["hits"][0]["quote"][:20]}, {"id": "x", "quote": "not there"}]})
+    told = search(run, R.Search("search bar shows random pictures"), complete=lambda prompt: reply)
+    assert told["answer"]["summary"] == "They miss pictures." and told["answer"]["evidence"][0]["context"] == "cited"
+    turned = search(run, R.Search("search bar shows random pictures", top=3), rerank=lambda q, texts: [float(len(t)) for t in texts])
+    assert len(turned["hits"]) == 3 and turned["hits"][0]["relevance"] >= 1
+    board = dashboard(run, table(spark, SMALL, "taxonomy_node"), 10**6)
+    assert not board["meets_target"] and board["index"] and any(g["kind"] == "corpus_target" for g in board["known_gaps"])
+    one = get_item(run, found["hits"][0]["id"])
+    assert one["citable"] and get_item(run, "nobody") is None
     severities = [r[0] for r in run.read("category").select("severity").collect()]
     assert all(0 <= s <= 1 for s in severities)
     assert freeze(run, dry_run=True) == "would_freeze" and freeze(run) == "frozen" and freeze(run) == "already_frozen"
     with pytest.raises(Frozen):
         run.write("more", raw)
     export(run, str(tmp_path / "bundle"), ["collected_item"], {"collected_item": ["raw_api_payload"]})
-    assert rebuild(run, "r2").read("collected_item").count() == raw.count()
+    again = rebuild(run, "r2")
+    assert run_all(again, raw, table(spark, SMALL, "locale_zone"), table(spark, SMALL, "taxonomy_node"), collected=True)["normalize"] == out["normalize"]
+    again.append("note", spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
+    again.upsert("note", spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
+    assert {tuple(r) for r in again.delete("note", spark.createDataFrame([(1,)], "k int"), ["k"]).collect()} == {(2, "c"), (3, "d")}
     old, new = (spark.createDataFrame(x, "k int, v string") for x in ([(1, "a"), (2, "b")], [(2, "c")]))
     assert {(r[0], r[1]) for r in upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c")}
 
@@ -269,3 +295,94 @@ def test_model_labels(spark):
     merged = {r["id"]: (r["labels"], r["label_source"]) for r in models.merge_second_pass(tagged, models.classify(items, _fake, "{{text}}", ["a"])).collect()}
     assert merged["3"] == (["b"], "rules") and merged["1"] == (["a"], "model")
     assert models.cited({"citations": [{"id": 1, "quote": "x y"}, {"id": 1, "quote": "z"}]}, {"1": "w x y"}) == [{"id": 1, "quote": "x y"}]
+
+
+@pytest.mark.parametrize(
+    "question, want",
+    [
+        ("how do I train the model?", False), ("write a Python scraper for Play Store", False), ("what is RAG?", False), ("Google Photos billing and subscription", False), ("openai chatgpt photos search", False), ("gemini api search", False),
+        ("scrape the play store and find photos", False), ("", False), ("old pictures", True), ("can't remember when the photo was taken", True), ("Google Photos search not finding people", True), ("google photos", True), ("incomplete memory", True),
+        ("What are the main user pain points around Google Photos search?", True), ("What is sentiment like for search in this feedback?", True),
+    ],
+)
+def test_scope(question, want):
+    assert R.in_scope(question) is want
+
+
+OUTSIDE = [
+    ("app_store", "the edit button is at the bottom for pictures in unshared albums but it is not available on photos in albums I have shared"), ("app_store", "The export frame for video is now hard to find and it doesn't even work correctly"),
+    ("help_community", "There is a bug in the Creations Module, I've edited a highlight which is getting processed from yesterday (it's stuck). My wifi and internet connection is stable."), ("help_community", "Accidently shared photos. How can I undo this?"),
+    ("help_community", "I want to get back my permanently deleted data from recycle bin"), ("help_community", "Can't Find the Photos Google Deleted"), ("help_community", "Is there a way to rename my downloaded files? I can't find it in the three dot menu."),
+    ("play_store", "why did you have to screw up the magic eraser?"), ("app_store", "recently, there is an animated shimmer over the subject of a photo when you open it. i cannot find a way to turn this off."),
+]
+INSIDE = [
+    "Great app! I can find photos of specific people, specific years, or documents! its great!", "it's horrible. I can't find half the photos I want to send to people.", "How to search for group photos? Searching for group photos did not filter out the results I wanted.",
+    "The more like this search function on individual photos is nowhere to be found. Where did it go?", "Date grouping disappeared! an update removed the photos being grouped by date.", "Face search categories are inconsistent, app will separate people into two different profiles",
+    "did you guys nerf the search function. now it says we can't find the search your looking for", "Can you search for photos just by their locations", "TIL. You can search your images for what they contain",
+]
+CHROME = "Stop back up videos - Google Photos Community Skip to main content Google Photos Help Sign in Privacy Policy Search Help Center Clear search Can't find your photos? Close search Search 105394"
+
+
+def test_relevance_of_examples(spark):
+    title = "Stop back up videos - Google Photos Community"
+    rows = [(s, t, None, False) for s, t in OUTSIDE] + [("reddit", t, None, True) for t in INSIDE] + [("help_community", CHROME, title, False)]
+    df = spark.createDataFrame(rows, "source string, text string, title string, inside boolean")
+    assert [r["text"] for r in L.relevance(df, "text", "source", "title").collect() if (r["relevance"] == "retrieval_related") != r["inside"]] == []
+    clean = df.filter("title is not null").select(X.strip_chrome(F.col("text"), F.col("title"))).first()[0]
+    assert clean == "Stop back up videos"
+
+
+def test_signals_of_examples(spark):
+    rows = [
+        ("a", "reddit", "comment", "Doesn't sound particularly serious after reading your subsequent posts. Find them and put them in an album called pictures of myself. Good luck."),
+        ("b", "reddit", "", "Face search categories are inconsistent, app will separate people into two different profiles"), ("c", "play_store", "", "I can't ever find my pictures!"),
+        ("d", "reddit", "comment", "Try to search by 'lenovo' or model number. That should give you all photos taken using the phone."), ("e", "app_store", "", "I can no longer search my photos for people, colors, objects or words. The option to search using name or event is no longer available."),
+        ("f", "app_store", "", "Lost the search bar; Gemini pop-up blocks the screen and search results never load."), ("g", "reddit", "", "Helpful hack: How I manually tag unrecognized people in my photos Google Photos does not currently allow manually tagging faces"),
+    ]
+    df = spark.createDataFrame(rows, "id string, source string, kind string, text string")
+    got = {r["id"]: r for r in L.annotate(df, kind=F.col("kind")).collect()}
+    assert got["a"]["signal"] == "no_signal" and got["a"]["search_types"] == [] and got["a"]["is_forum_reply"]
+    assert {"system_face_grouping", "system_issues"} <= set(got["b"]["labels"]) and got["c"]["labels"] == [] and got["d"]["labels"] == []
+    assert {"people_pets", "objects", "events"} <= set(got["e"]["search_types"]) and "search_ai_search" in got["f"]["search_types"] and got["g"]["tone"] == "neutral"
+    assert got["b"]["snippets"] == [rows[1][3]] and got["b"]["label_confidence"] == 0.64
+
+
+def test_curated_labels_override(spark):
+    rows = [("a", "reddit", "1", "Search is broken and the search bar is gone"), ("b", "reddit", "2", "nothing here"), ("c", "reddit", None, "search bar is gone"), ("d", "reddit", "4", "can't find anything, search bar")]
+    tagged = L.annotate(L.relevance(spark.createDataFrame(rows, "id string, source string, native_id string, text string")))
+    curated = spark.createDataFrame(
+        [("reddit:1", False, False, "actionable", "positive", ["system_search_bugs"], ["places"], True), ("reddit:2", True, False, "actionable", None, ["knowledge_hidden_features", "zz"], None, False), ("reddit:4", True, True, "actionable", "negative", ["system_search_bugs"], ["places"], True)],
+        "key string, in_scope boolean, is_forum_reply boolean, signal string, sentiment string, pain_points array<string>, search_types array<string>, is_suggestion boolean",
+    )
+    got = {r["id"]: r for r in L.apply_curated(tagged, curated).collect()}
+    assert got["a"]["relevance"] == "unrelated" and got["a"]["labels"] == [] and got["a"]["tone"] == "positive" and got["a"]["search_types"] == ["places", "search_ai_search"]
+    assert got["b"]["labels"] == ["knowledge_unknown_capability", "knowledge_awareness_gaps"] and got["b"]["relevance"] == "retrieval_related" and got["b"]["tone"] == "neutral" and got["b"]["label_confidence"] == 1.0
+    assert got["c"]["label_source"] == "rules" and got["d"]["search_types"] == [] and got["d"]["signal"] == "no_signal" and not got["d"]["is_suggestion"]
+
+
+def test_needed_strings_never_hide_a_match(spark):
+    rnd = random.Random(4)
+    patterns = [p for _, p in (*L.T.PAIN_POINTS.rules, *L.T.SEARCH_TYPES.rules, *L.T.THEMES_OUTSIDE.rules)] + [L.T.PAIN, L.T.SUGGESTION, L.T.FORUM_SOLUTION, L.T.SEARCH_SIGNAL]
+    words = sorted({w for p in patterns for s in needed(p) for w in s.split()}) + ["the", "my", "was", "\u017fearch", "F\u0130ND", "photo\u017f"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 12))) for _ in range(4000)]
+    for p in patterns:
+        for t in texts:
+            if re.search(p, t, re.I):
+                low = t.lower() if t.isascii() else t.translate(rules._ALSO).lower()
+                assert not needed(p) or any(w in low for w in needed(p)), (p, t)
+
+
+def test_near_edges_find_what_is_near(spark):
+    rnd = random.Random(9)
+    base = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(f"k{i:04d}", [x + rnd.gauss(0, 0.25) for x in base[i % 40]]) for i in range(1200)] + [("zero", [0.0] * 16)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    exact = {(r["a"], r["b"]): r["cos"] for r in V.similarity_edges(df, "id", "v", 0.8).collect()}
+    near = {(r["a"], r["b"]): r["cos"] for r in V.near_edges(df, "id", "v", 0.8, members=50, block=16).collect()}
+    assert set(near) <= set(exact) and len(near) >= 0.99 * len(exact) > 10_000
+
+
+def test_gaps(spark):
+    rows = [("reddit", "failed", None), ("help_community", "success", "CSE quota reached"), ("reddit", "success", "arctic outage"), ("app_store", "success", None), ("reddit", "failed", None)]
+    got = {(r["kind"], r["source"]) for r in M.gaps(spark.createDataFrame(rows, "source string, status string, notes string"), 3, 500, indexed=False).collect()}
+    assert got == {("adapter", "reddit"), ("cse_quota", "help_community"), ("arctic_shift", "reddit"), ("corpus_target", "all"), ("vector_index", "rag")}
