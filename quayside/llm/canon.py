@@ -43,8 +43,9 @@ def ignorable(ch: str) -> bool:
     o = ord(ch)
     return (
         (unicodedata.category(ch) == "Cf" and not (0x600 <= o <= 0x605 or o in (0x6DD, 0x70F, 0x8E2, 0x110BD, 0x110CD)))
-        or o in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0)
+        or o in (0x034F, 0x2065, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0)
         or 0xFE00 <= o <= 0xFE0F
+        or 0xFFF0 <= o <= 0xFFF8
         or 0xE0000 <= o <= 0xE0FFF
     )
 
@@ -52,7 +53,7 @@ def ignorable(ch: str) -> bool:
 @lru_cache(1)
 def _visual_map() -> dict[int, str | None]:
     out: dict[int, str | None] = {}
-    for o in (*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0xE0000, 0xE1000)):
+    for o in (*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x110BD, 0x110CE), *range(0x13430, 0x13440), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE1000)):
         ch = chr(o)
         tag, _, rest = unicodedata.decomposition(ch).partition(" ")
         if ignorable(ch):
@@ -146,19 +147,34 @@ def quotes(classification: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _looks_like_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Quotes whose form stands in the form of their text: composed and case-folded first, then as it is seen; per distinct value."""
     shown = lru_cache(2000)(visual_form)
-    folded = lru_cache(2000)(lambda s: unicodedata.normalize("NFKC", shown(s)).casefold())
+    folded = lambda s: unicodedata.normalize("NFKC", shown(s)).casefold()
     for b in batches:
-        keep = [bool(shown(q)) and folded(q) in folded(t) and shown(q) in shown(t) for q, t in zip(b["snippet"], b["item_text"])]
+        text, quote = b["item_text"], b["snippet"]
+        near = [bool(q) and q in t for q, t in zip(per_distinct(quote, folded), per_distinct(text, folded))]
+        b, text, quote = b[near], text[near].reset_index(drop=True), quote[near].reset_index(drop=True)
+        keep = [bool(q) and q in t for q, t in zip(per_distinct(quote, shown), per_distinct(text, shown))]
         yield b.loc[keep, ["classification_id", "pos"]].rename(columns={"pos": "snippet_no"}).astype({"snippet_no": "int64"})
 
 
+#: What can look otherwise than it is written: anything but printable ASCII.
+_ODD = r"[^\x20-\x7e]"
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes that look like a stretch of their item's text but differ in characters."""
     q = quotes(table(spark, sf_dir, "classification"), table(spark, sf_dir, "feedback_item"))
+    q = q.filter(F.col("snippet").rlike(_ODD) | F.col("item_text").rlike(_ODD))
     return q.mapInPandas(_looks_like_part, "classification_id string, snippet_no bigint").distinct()
 
 
+def p4_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each quote in canonical form; lists that aren't JSON lists have none."""
+    c = table(spark, sf_dir, "classification").select(F.col("id").alias("classification_id"), F.posexplode(F.from_json("snippets_json", "array<string>")).alias("snippet_no", "snippet"))
+    return c.filter("snippet is not null").select("classification_id", F.col("snippet_no").cast("bigint").alias("snippet_no"), canonical(F.col("snippet")).alias("form"))
+
+
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each feedback item's text in canonical form, and whether that changed it."""
     f = table(spark, sf_dir, "feedback_item").select("id", "text")
@@ -166,4 +182,4 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("form", form).select("id", "form", (F.col("form") != F.lower("text")).alias("changed"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms}
+QUERIES = {"p4_found": p4_found, "p4_snippets": p4_snippets, "p4_forms": p4_forms}

@@ -173,6 +173,9 @@ def disclosure(df: DataFrame, fields: list[str]) -> np.ndarray:
         return pd.Series([_bucket(k, t) for k, t in zip(kinds, terms)], dtype="int32")
 
     digest = F.pandas_udf(buckets, "int")
+    # A harmless term is taken for a revealing one with the chance that its bucket is one of theirs.
+    if (many := revealing.limit((1 << TABLE_BITS) // 64 + 1).count()) > (1 << TABLE_BITS) // 64:
+        raise ValueError(f"more than {many - 1} revealing terms; raise TABLE_BITS")
     for r in revealing.select(digest("kind", "term").alias("k")).distinct().toLocalIterator():  # at most 2**TABLE_BITS numbers
         table_[r["k"]] = True
     return table_
@@ -270,4 +273,10 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_items(items, ["text", "thread_context"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted}
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All raw records with placeholders in place, and whether any was needed; the flag of their items follows from it."""
+    records = table(spark, sf_dir, "collected_item").select("raw_record_id", "text", "thread_context")
+    return redact_items(records, ["text", "thread_context"])
+
+
+QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p2_redacted": p2_redacted}

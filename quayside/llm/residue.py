@@ -214,4 +214,14 @@ def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_residue(items).groupBy("source").agg(F.count("*").alias("records"), F.count_if("is_residue").alias("residue"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept}
+def without_residue(items: DataFrame, column: str = "text") -> DataFrame:
+    """The records that aren't residue; a filter for the stage that makes items of records."""
+    return flag_residue(items, column, "__residue").filter(~F.coalesce("__residue", F.lit(False))).drop("__residue")
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that may become items, as far as residue goes."""
+    return without_residue(table(spark, sf_dir, "collected_item").select("raw_record_id", "source", "text")).select("raw_record_id", "source")
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_kept": p1_kept}

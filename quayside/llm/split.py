@@ -1,7 +1,7 @@
 """Oversized texts cut into pieces at natural boundaries (problem 3).
 
-Every position of a text has a boundary strength.  Pieces are cut greedily: among the permissible ends of a piece the
-strongest boundary is taken, of equals the rightmost, found by a sparse table for range maxima; the next piece starts
+Every position of a text has a boundary strength.  Pieces are cut greedily: among the ends in the second half of a
+piece's longest length (in the first half, where only that has a natural break) the strongest boundary is taken, of equals the rightmost, found by a sparse table for range maxima; the next piece starts
 ``overlap`` characters before that cut.  Dropping the first ``overlap`` characters of each following piece gives back
 the text exactly.
 
@@ -17,12 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quayside.session import table
 
 LIMIT, OVERLAP = 4000, 200
+#: The least strength of a natural break: between words.
+NATURAL = 2
 
 #: A cut is allowed at the end of each match; strength by kind.
 _BREAKS = (
@@ -61,7 +63,7 @@ class RangeMax:
         row = self.levels[have]
         for j in range(have, k):
             row = np.maximum(row[: -(1 << j)], row[1 << j :])
-        self.levels = {0: self.levels[0], k: row}
+        self.levels = {0: self.levels[0]} | {j: r for j, r in self.levels.items() if j + 2 > k} | {k: row}
         return row
 
     def best(self, low: int, high: int) -> int:
@@ -78,15 +80,22 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     n = len(text)
     if n <= limit:
         return []
-    table_, start, out = RangeMax(strengths(text)), 0, []
+    power = strengths(text)
+    table_, start, out = RangeMax(power), 0, []
     while n - start > limit:
         cut = table_.best(start + limit // 2 + 1, start + limit)
+        if power[cut] < NATURAL:  # no natural break in the second half: one in the first half is better
+            early = table_.best(start + overlap + 1, start + limit // 2)
+            cut = early if power[early] >= NATURAL else cut
         out.append((start, text[start:cut]))
         start = cut - overlap
     out.append((start, text[start:]))
     return out
 
 
+_PIECE = ["item_key", "field_name", "piece_no", "start_pos", "piece"]
+
+
 def split_items(df: DataFrame, key: str, fields: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of the fields that are over the limit: (key, field_name, piece_no, start_pos, piece).
 
@@ -98,9 +107,15 @@ def split_items(df: DataFrame, key: str, fields: list[str], limit: int = LIMIT,
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows: list[tuple] = []
+            size = 0
             for k, f, body in zip(b["item_key"], b["field_name"], b["body"]):
-                cuts = split_text(body, limit, overlap)
-                yield pd.DataFrame({"item_key": k, "field_name": f, "piece_no": range(len(cuts)), "start_pos": [s for s, _ in cuts], "piece": [p for _, p in cuts]})
+                rows += [(k, f, i, s, p) for i, (s, p) in enumerate(split_text(body, limit, overlap))]
+                size += len(body)
+                if size > 8_000_000:
+                    yield pd.DataFrame(rows, columns=_PIECE)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=_PIECE)
 
     return rows.mapInPandas(pieces, f"item_key {kind}, field_name string, piece_no bigint, start_pos bigint, piece string").withColumnRenamed("item_key", key)
 
@@ -113,7 +128,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).filter(F.col("piece_no") == 0).select("raw_record_id", "field_name").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
+def p3_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each field add up to: its length, whether each piece starts where the one before says, and all are within the limit."""
+    x = p3_pieces(spark, sf_dir).withColumn("n", F.length("piece"))
+    after = Window.partitionBy("raw_record_id", "field_name").orderBy("piece_no")
+    ahead, tail = F.lag("piece").over(after), F.lag("start_pos").over(after)
+    follows = F.coalesce((F.substr("piece", F.lit(1), F.lit(OVERLAP)) == F.substr(ahead, F.length(ahead) - OVERLAP + 1)) & (F.col("start_pos") == tail + F.length(ahead) - OVERLAP), F.col("start_pos") == 0)
+    g = x.withColumn("follows", follows).groupBy("raw_record_id", "field_name")
+    return g.agg((F.sum("n") - OVERLAP * (F.count("*") - 1)).alias("chars"), F.bool_and("follows").alias("whole"), (F.max("n") <= LIMIT).alias("within"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_lengths": p3_lengths, "p3_pieces": p3_pieces}
 ORACLES = {
+    "p3_lengths": f"with x as (select raw_record_id, 'text' as field_name, text as t from collected_item union all select raw_record_id, 'thread_context', thread_context from collected_item) select raw_record_id, field_name, length(t) as chars, true as whole, true as within from x where length(t) > {LIMIT}",
     "p3_found": f"select distinct raw_record_id, 'text' as field_name from collected_item where length(text) > {LIMIT} union select distinct raw_record_id, 'thread_context' from collected_item where length(thread_context) > {LIMIT}",
 }

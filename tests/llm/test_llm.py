@@ -105,8 +105,9 @@ def test_split_round_trip(text, limit):
     assert all(b[1].startswith(a[1][-overlap:]) for a, b in zip(pieces, pieces[1:]))
     power = split.strengths(text)
     for (s, p), _ in zip(pieces, pieces[1:]):  # brute force: the strongest cut, the rightmost of equals
-        window = range(s + limit // 2 + 1, s + limit + 1)
-        assert s + len(p) == max(window, key=lambda i: (power[i], i))
+        best = max(range(s + limit // 2 + 1, s + limit + 1), key=lambda i: (power[i], i))
+        early = max(range(s + overlap + 1, s + limit // 2 + 1), key=lambda i: (power[i], i))
+        assert s + len(p) == (early if power[best] < split.NATURAL <= power[early] else best)
 
 
 def test_split_items(spark):
@@ -133,6 +134,11 @@ def test_other_look(a, b):
     assert canon.visual_form(a) != canon.visual_form(b)
 
 
+@pytest.mark.parametrize("code", [0x2065, 0xFFF0, 0x1BCA0, 0x1D173, 0xE0041, 0x034F, 0x3164])
+def test_ignorable_characters_go(code):
+    assert canon.visual_form(f"a{chr(code)}b") == "ab" and canon.canonical_form(f"a{chr(code)}b") == "ab"
+
+
 def test_canonical_words():
     assert canon.canonical_form("ПОСЛЕ В") == canon.canonical_form("после в") and canon.canonical_form("пoслe") == "после" and canon.canonical_form("STRASSE") == canon.canonical_form("Straße")
     for s in ("", "Ａé́ß Тhе ПОСЛЕ", "​"):
