@@ -46,13 +46,18 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(word)) is not None:
         return [whole]
     parts = [word[i : i + 1] for i in range(len(word))]
-    if len(parts) <= 48:
-        while len(parts) > 1:
-            best = min(((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if best[0] == 1 << 60:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    if len(parts) <= 200:
+        # Ranks of adjacent pairs; after a merge only the two beside it change.
+        get, none = ranks.get, 1 << 60
+        pair = [get(word[i : i + 2], none) for i in range(len(parts) - 1)]
+        while pair and (least := min(pair)) != none:
+            i = pair.index(least)  # of equals the first
+            parts[i] += parts[i + 1]
+            del parts[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pair[i - 1] = get(parts[i - 1] + parts[i], none)
         return [ranks[p] for p in parts]
     after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
     heap = [(r, i, parts[i] + parts[i + 1]) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
