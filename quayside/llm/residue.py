@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices told from real text (problem 1).
 
-Two character n-gram models are compared along each text: one of residue, fitted to the seeds below (filler, error
-pages and blocking pages, notices about scripts, templates), one of natural prose, counted over the texts of the
+Character n-gram models are compared along each text: models of filler, of notices (error pages, blocking pages, scripts)
+and of templates, fitted to the seeds below and mixed, and one of natural prose, counted over the texts of the
 corpus; a text that is copied often (numbers, nonces and case aside) weighs little more than one, else it became prose.
 Windows of the log-likelihood ratio localise residue; a text is excluded when residue covers it.  A short exact check
 follows: what isn't covered must not hold a run of prose.
@@ -140,14 +140,25 @@ def count_prose(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def fit_residue(prose: np.ndarray, seeds: str = f"{FILLER}\n{NOTICES}\n{TEMPLATES}") -> np.ndarray:
-    """The log-likelihood ratio of each trigram, residue over prose; both models are smoothed with the same floor."""
-    lines = [part.replace("{v}", _VAR) for line in seeds.split("\n") for part in (line, *re.split(r"(?<=[.!?。]) ", line))]
-    c = _signs(_simplify("\x00" + "\x00".join(lines) + "\x00"))
-    residue = np.bincount(_trigrams(c)[c != 0], minlength=BUCKETS).astype(float)
-    floor = 2e-6
-    p, q = residue / residue.sum(), prose / max(1, prose.sum())
-    return np.clip(np.log((p + floor) / (q + floor)), -4, 4).astype(np.float32)
+KINDS = ("filler", "notice", "template")
+
+
+def fit_residue(prose: np.ndarray, seeds: dict[str, str] | None = None) -> np.ndarray:
+    """Log-likelihood ratios of each trigram over prose: a model for each kind of residue, and first that of their mixture.
+
+    The models are fitted apart and mixed by the size of their seeds; all are smoothed with the same floor.  ``seeds`` has
+    the texts of each of ``KINDS``.
+    """
+    seeds = seeds or dict(zip(KINDS, (FILLER, NOTICES, TEMPLATES)))
+    floor, models, sizes = 2e-6, [], []
+    for kind in KINDS:
+        lines = [part.replace("{v}", _VAR) for line in seeds[kind].split("\n") for part in (line, *re.split(r"(?<=[.!?。]) ", line))]
+        c = _signs(_simplify("\x00" + "\x00".join(lines) + "\x00"))
+        n = np.bincount(_trigrams(c)[c != 0], minlength=BUCKETS).astype(float)
+        models.append(n / max(1, n.sum()))
+        sizes.append(n.sum())
+    q = np.log(prose / max(1, prose.sum()) + floor)
+    return np.clip([np.log(p + floor) - q for p in (np.average(models, axis=0, weights=np.maximum(sizes, 1)), *models)], -4, 4).astype(np.float32)
 
 
 _ONE_WORD = re.compile(r"\s*[^\W\d_]{1,20}[.!?\s]*")
@@ -159,7 +170,7 @@ def coverage(texts, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     c = _signs(s)
     ends = np.flatnonzero(c == 0)
     n = len(ends) - 1
-    score = ratio[_trigrams(c)]
+    score = ratio[0][_trigrams(c)]
     score[c == 0] = 0
     # Window sums: from half a window before to half a window after, within the text.
     total = np.concatenate([[0], np.cumsum(score, dtype=np.float64)])
@@ -189,12 +200,21 @@ def is_residue(texts: pd.Series, ratio: np.ndarray) -> np.ndarray:
     return found
 
 
+def kinds_of(texts: list[str], ratio: np.ndarray) -> list[str]:
+    """The kind of residue whose model likes each text best."""
+    out = []
+    for t in texts:
+        c = _signs(_simplify(_join([t])))
+        out.append(KINDS[int(ratio[1:, _trigrams(c)[c != 0]].sum(1).argmax())])
+    return out
+
+
 def residue_model(items: DataFrame, column: str = "text") -> np.ndarray:
     return fit_residue(count_prose(items.select(column).filter(F.col(column).isNotNull())))
 
 
 def flag_residue(items: DataFrame, column: str = "text", out: str = "is_residue", ratio: np.ndarray | None = None) -> DataFrame:
-    """Add a flag to each record; ``ratio`` is a fitted model (some 500 KB, of fixed size), by default fitted here."""
+    """Add a flag to each record; ``ratio`` is a fitted model (some 2 MB, of fixed size), by default fitted here."""
     model = items.sparkSession.sparkContext.broadcast(residue_model(items, column) if ratio is None else ratio)
 
     def flag(texts: pd.Series) -> pd.Series:
@@ -208,6 +228,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_residue(items).filter("is_residue").select("raw_record_id")
 
 
+def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that are residue, each with its kind: filler, notice (error pages among them) or template."""
+    items = table(spark, sf_dir, "collected_item").select("raw_record_id", "text")
+    ratio = residue_model(items)
+    model = spark.sparkContext.broadcast(ratio)
+
+    def kind(texts: pd.Series) -> pd.Series:
+        return pd.Series(kinds_of(texts.tolist(), model.value), dtype=object)
+
+    found = flag_residue(items, ratio=ratio).filter("is_residue")
+    return found.select("raw_record_id", F.pandas_udf(kind, "string")("text").alias("kind"))
+
+
 def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by source with the number that is kept out as residue."""
     items = table(spark, sf_dir, "collected_item").select("source", "text")
@@ -224,4 +257,4 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_residue(table(spark, sf_dir, "collected_item").select("raw_record_id", "source", "text")).select("raw_record_id", "source")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_kept": p1_kept}
+QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p1_clean": p1_clean, "p1_kept": p1_kept}

@@ -31,6 +31,24 @@ def test_residue(spark):
     assert residue.flag_residue(df.limit(0)).count() == 0
 
 
+def test_residue_of_families_that_are_no_seeds():
+    """Seeds by half: what stands only in the other half is still found, by what residue of its kind has in common."""
+    prose = residue.fit_residue(np.ones(residue.BUCKETS))
+    assert prose.shape == (4, residue.BUCKETS)
+    texts = [r for r in pd.read_parquet("/root/testdata/sf0.01/collected_item.parquet", columns=["text"])["text"].dropna()]
+    counts = np.zeros(residue.BUCKETS)
+    c = residue._signs(residue._simplify(residue._join(texts)))
+    counts += np.bincount(residue._trigrams(c)[c != 0], minlength=residue.BUCKETS)
+    full = residue.is_residue(pd.Series(texts), residue.fit_residue(counts))
+    rnd, kept = random.Random(2), []
+    for _ in range(3):
+        half = {k: "\n".join(x for line in s.split("\n") for x in [" ".join(p for p in line.split(". ") if rnd.random() < 0.5)] if x) for k, s in zip(residue.KINDS, (residue.FILLER, residue.NOTICES, residue.TEMPLATES))}
+        kept.append((residue.is_residue(pd.Series(texts), residue.fit_residue(counts, half)) & full).sum() / full.sum())
+    assert full.sum() > 50 and min(kept) > 0.4
+    kinds = residue.kinds_of(["Lorem ipsum dolor sit amet, consectetur.", "Please enable JavaScript to view this page.", "Hi {{name}}, thank you for rating {{app}}."], residue.fit_residue(counts))
+    assert kinds == ["filler", "notice", "template"]
+
+
 @pytest.mark.parametrize("page", ["Error 404: page not found.", "Please enable JavaScript to view this content.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."])
 def test_residue_copied_to_a_third_of_rows(spark, page):
     texts = [r["text"] for r in table(spark, SMALL, "collected_item").filter("text is not null").select("text").collect()]
@@ -220,6 +238,27 @@ def test_branching_on_keeps_the_pairs(spark, monkeypatch):
     assert got <= want and len(got) >= 0.98 * len(want) >= 140
 
 
+def test_groups_of_the_small_table(spark):
+    rows = [(r["id"], r["text"]) for r in table(spark, SMALL, "feedback_item").select("id", "text").collect()]
+    pairs = _pairs(rows)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    want = {}
+    for x in list(root):
+        want.setdefault(find(x), set()).add(x)
+    got = {}
+    for r in neardup.p6_groups(spark, SMALL).collect():
+        got.setdefault(r["group_id"], set()).add(r["id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(pairs) > 5
+
+
 def test_many_copies_are_no_hot_key(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = spark.range(1300).select(F.col("id").cast("string").alias("id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([("x", text + " more")], "id string, text string"))
