@@ -1,9 +1,9 @@
 """Mixed timestamp notations brought to one UTC instant.
 
 Every value is matched against the known notations, in Arrow batches, and gives one candidate instant per valid
-reading.  Where several readings are valid, a mixture of formats per source, fitted by expectation-maximisation over
-the counts of candidate sets, decides by posterior.  Only those counts (bounded by sources x combinations of readings)
-leave the executors; there is no shuffle of rows.
+reading: both orders of a date in numbers (one against its locale is a format of its own), every unit a bare number may
+count.  A mixture of formats per source, fitted by expectation-maximisation over the counts of candidate sets, decides by
+posterior.  Only those counts (bounded by sources x combinations of readings) are shuffled, no rows.
 
 Cases: null, blank, relative ("yesterday") and impossible values (31 February) give null micros; a clock that occurs
 twice is the first, one that is skipped is read with the offset before the change; repeated rows are kept; an empty
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.session import table
+from quayside.session import table, written
 
 _P = "__ts_"
 
@@ -126,7 +126,12 @@ def read_timestamp(value: str | None, own: str | None = None, order: str | None
         out = [("pair", int(p["y"]) * 1_000_000 + int(p["mo"]) // 1000)]
     elif family == "numeric":
         a, b = int(p["mo"]), int(p["d"])
-        out = [("mdy", _instant(p, a, b, own))] * (order in (None, "mdy")) + [("dmy", _instant(p, b, a, own))] * (order in (None, "dmy", "ymd"))
+        # Both readings are candidates; what a locale says of the order is evidence, and a reading against it another format.
+        said = "dmy" if order == "ymd" else order
+        against = lambda name: name if said in (None, name) else f"{name}!"
+        out = [(against("mdy"), _instant(p, a, b, own)), (against("dmy"), _instant(p, b, a, own))]
+        if said and not any(x is not None for f, x in out if not f.endswith("!")):
+            out = []  # a value that its locale's order can't read names no date
     else:
         month = _NAMES.get(p["mo"]) if family.startswith("worded") else int(p["mo"])
         out = [("calendar", _instant(p, month, int(p["d"]), own))] if month else []
@@ -156,55 +161,75 @@ def candidates(df: DataFrame, zones: DataFrame, value: str, locale: str) -> Data
     return df.withColumn(_P + "cands", udf(F.col(value), F.col(locale)))
 
 
-def fit_formats(df: DataFrame, source: str, rounds: int = 25) -> dict[tuple[str | None, tuple[str, ...]], tuple[str, float]]:
-    """Weights of formats per source by EM over counts of candidate sets; the chosen format and its posterior of each set.
+#: Prior counts of a format, and of one that a value's locale speaks against.
+PRIOR, AGAINST = 0.5, 0.005
 
-    The counts have at most sources x 2**formats rows. All rows count, whatever their number.
+
+def mixture(rows: list[tuple[tuple[str, ...], int]], rounds: int = 50) -> dict[tuple[str, ...], tuple[str, float]]:
+    """Weights of formats by EM over (candidate set, count); the format of each set of highest posterior, and that posterior.
+
+    A set adds likelihood to each format that reads it; sets with one reading anchor the weights.
     """
-    sets = F.transform(F.col(_P + "cands"), lambda c: c["format"])
-    counts = df.filter(F.size(_P + "cands") > 0).groupBy(F.col(source).alias("s"), sets.alias("f")).count().collect()
-    by: dict[str | None, list[tuple[tuple[str, ...], int]]] = {}
-    for r in counts:
-        by.setdefault(r["s"], []).append((tuple(r["f"]), r["count"]))
-    out = {}
-    for s, rows in by.items():
-        formats = sorted({f for fs, _ in rows for f in fs})
-        weight = dict.fromkeys(formats, 1 / len(formats))
-        for _ in range(rounds):
-            expected = dict.fromkeys(formats, 0.5)
-            for fs, n in rows:
-                z = sum(weight[f] for f in fs)
-                for f in fs:
-                    expected[f] += n * weight[f] / z
-            total = sum(expected.values())
-            weight = {f: x / total for f, x in expected.items()}
-        for fs, _ in rows:
+    formats = sorted({f for fs, _ in rows for f in fs})
+    prior = {f: AGAINST if f.endswith("!") else PRIOR for f in formats}
+    weight = {f: prior[f] / sum(prior.values()) for f in formats}
+    for _ in range(rounds):
+        expected = dict(prior)
+        for fs, n in rows:
             z = sum(weight[f] for f in fs)
-            best = max(fs, key=lambda f: (weight[f], f))
-            out[s, fs] = (best, weight[best] / z)
+            for f in fs:
+                expected[f] += n * weight[f] / z
+        total = sum(expected.values())
+        weight = {f: x / total for f, x in expected.items()}
+    out = {}
+    for fs, _ in rows:
+        best = max(fs, key=lambda f: (weight[f], f))
+        out[fs] = (best, weight[best] / sum(weight[f] for f in fs))
     return out
 
 
+def fit_formats(df: DataFrame, source: str) -> DataFrame:
+    """(s, f, best, sure): the chosen format and its posterior of each candidate set of several readings, by source.
+
+    All rows count, whatever their number: they are counted by set in each partition first.  The mixture of a source is
+    fitted where its counts are, at most one row for each combination of readings; a source missing is one of its own.
+    """
+    sets = F.transform(F.col(_P + "cands"), lambda c: c["format"])
+    counts = df.filter(F.size(_P + "cands") > 0).groupBy(F.coalesce(source, F.lit("\x00")).alias("s"), F.array_join(sets, ",").alias("f")).agg(F.count("*").alias("n"))
+
+    def fit(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        chosen = mixture([(tuple(f.split(",")), int(n)) for f, n in zip(x["f"], x["n"])])
+        rows = [(key[0], ",".join(fs), best, sure) for fs, (best, sure) in chosen.items() if len(fs) > 1]
+        return pd.DataFrame(rows, columns=["s", "f", "best", "sure"])
+
+    return counts.groupBy("s").applyInPandas(fit, "s string, f string, best string, sure double")
+
+
+#: Fitted sets up to which they go along with the rows; beyond, rows and sets are joined in salted parts.
+SENT, SALTS = 20_000, 32
+
+
 def normalise_timestamps(df: DataFrame, zones: DataFrame, value: str = "authored_at", locale: str = "locale", source: str = "source", certain: float = 0.8) -> DataFrame:
     """Add ``utc_micros``, ``ts_format``, ``ts_confidence`` and ``ts_ambiguous`` (the posterior is under ``certain``)."""
     base = candidates(df, zones, value, locale)
-    fitted = fit_formats(base, source)
-    sets = F.transform(F.col(_P + "cands"), lambda c: c["format"])
-    several = {k: v for k, v in fitted.items() if len(k[1]) > 1}
-    first = F.get(F.col(_P + "cands"), F.lit(0))
-    key = F.concat_ws("|", F.coalesce(F.col(source), F.lit("\x00")), F.array_join(sets, ","))
-    keyed = {f"{'\x00' if s is None else s}|{','.join(fs)}": v for (s, fs), v in several.items()}
-    if keyed:
-        best = F.create_map(*[F.lit(x) for k, v in keyed.items() for x in (k, v[0])])[key]
-        sure = F.create_map(*[F.lit(x) for k, v in keyed.items() for x in (k, float(v[1]))])[key]
-        chosen = F.when(F.size(_P + "cands") > 1, F.get(F.filter(F.col(_P + "cands"), lambda c: c["format"] == best), F.lit(0))).otherwise(first)
-        same = F.size(F.array_distinct(F.transform(F.col(_P + "cands"), lambda c: c["micros"]))) <= 1
-        confidence = F.when((F.size(_P + "cands") == 1) | same, F.lit(1.0)).otherwise(sure)
-    else:
-        chosen, confidence = first, F.lit(1.0)
-    out = base.withColumn(_P + "chosen", chosen)
+    fitted = written(fit_formats(base, source), "formats")
+    cands, several = F.col(_P + "cands"), F.size(_P + "cands") > 1
+    out = base.withColumns({_P + "s": F.coalesce(source, F.lit("\x00")), _P + "f": F.array_join(F.transform(cands, lambda c: c["format"]), ",")})
+    chosen = fitted.select(F.col("s").alias(_P + "s"), F.col("f").alias(_P + "f"), F.col("best").alias(_P + "best"), F.col("sure").alias(_P + "sure"))
+    keys = [_P + "s", _P + "f"]
+    if fitted.limit(SENT + 1).count() <= SENT:
+        out = out.join(F.broadcast(chosen), keys, "left")
+    else:  # a set may hold a third of all rows
+        salt = F.pmod(F.xxhash64(value, locale), F.lit(SALTS)).cast("int")
+        chosen = chosen.withColumn(_P + "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = out.withColumn(_P + "salt", salt).join(chosen, [*keys, _P + "salt"], "left")
+    first = F.get(cands, F.lit(0))
+    picked = F.when(several, F.coalesce(F.get(F.filter(cands, lambda c: c["format"] == F.col(_P + "best")), F.lit(0)), first)).otherwise(first)
+    same = F.size(F.array_distinct(F.transform(cands, lambda c: c["micros"]))) <= 1
+    out = out.withColumn(_P + "chosen", picked)
     micros = F.col(_P + "chosen")["micros"]
-    out = out.withColumn("ts_confidence", F.when(micros.isNotNull(), confidence)).withColumn("utc_micros", micros).withColumn("ts_format", F.col(_P + "chosen")["format"])
+    confidence = F.when(~several | same, F.lit(1.0)).otherwise(F.coalesce(_P + "sure", F.lit(1.0)))
+    out = out.withColumns({"ts_confidence": F.when(micros.isNotNull(), confidence), "utc_micros": micros, "ts_format": F.regexp_replace(F.col(_P + "chosen")["format"], "!$", "")})
     out = out.withColumn("ts_ambiguous", F.coalesce(F.col("ts_confidence") < certain, F.lit(False)))
     return out.drop(*[c for c in out.columns if c.startswith(_P)])
 

@@ -39,9 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or, in local sessions only, one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quayside-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -56,8 +58,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, stem: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; :func:`sweep` deletes what was written there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    sc._quayside_scratch = [*getattr(sc, "_quayside_scratch", []), path]
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that this session has written to the shared folder; frames made of them can't be read any more."""
+    sc = spark.sparkContext
+    paths, sc._quayside_scratch = getattr(sc, "_quayside_scratch", []), []
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    for p in paths:
+        path = hadoop.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def local_path(path: str) -> str:

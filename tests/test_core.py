@@ -18,6 +18,7 @@ from quayside.functions import rules
 from quayside.operators import labels as L
 from quayside.operators import measures as M
 from quayside.operators import retrieval as R
+from quayside.operators import timestamps as T
 from quayside.operators import vectors as V
 from quayside.operators.timestamps import normalise_timestamps, read_timestamp
 from quayside.plans import catalogue
@@ -54,8 +55,8 @@ micros = lambda *a: int(datetime(*a, tzinfo=timezone.utc).timestamp()) * 1_000_0
     ],
 )
 def test_timestamp_notations(value, zone, order, want):
-    got = read_timestamp(value, zone, order)
-    assert ([x for _, x in got] or [None])[0] == want
+    got = [x for f, x in read_timestamp(value, zone, order) if not f.endswith("!")]
+    assert (got or [None])[0] == want
 
 
 def test_timestamps_mixture_and_edges(spark):
@@ -65,6 +66,11 @@ def test_timestamps_mixture_and_edges(spark):
     got = {r["utc_extra"]: r for r in normalise_timestamps(df, zones).collect()}
     assert got[2]["utc_micros"] == micros(2025, 6, 5, 10, 0) and got[2]["ts_format"] == "dmy" and not got[2]["ts_ambiguous"]  # the source writes days first
     assert got[3]["utc_micros"] == micros(2025, 5, 6, 14, 0)
+    against = [("t", "05/06/2025 10:00", "en-US", i) for i in range(40)] + [("t", "13/06/2025 10:00", None, 99)]
+    turned = {r["utc_extra"]: r for r in normalise_timestamps(spark.createDataFrame(against, df.schema), zones).collect()}
+    assert turned[0]["utc_micros"] == micros(2025, 5, 6, 14, 0) and turned[0]["ts_confidence"] > 0.9  # the locale's order is evidence
+    assert T.mixture([(("dmy",), 30), (("dmy", "mdy"), 5), (("mdy",), 1)])["dmy", "mdy"][0] == "dmy" and 0.4 < T.mixture([(("dmy", "mdy"), 5)])["dmy", "mdy"][1] < 0.6
+    assert normalise_timestamps(spark.createDataFrame([("u", "05/06/2025", None, 1)], df.schema), zones).first()["ts_ambiguous"]
     assert got[4]["utc_micros"] is None and got[5]["utc_micros"] is None and got[6]["ts_confidence"] == 1.0
     assert normalise_timestamps(df.limit(0), zones).count() == 0
 
