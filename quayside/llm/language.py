@@ -197,8 +197,8 @@ def labelled_sentences(df: DataFrame, text: str, label: Column, sample: int = SA
     return cleaned, labels
 
 
-def language_model(df: DataFrame, text: str, label: Column) -> np.ndarray:
-    cleaned, labels = labelled_sentences(df, text, label)
+def language_model(df: DataFrame, text: str, label: Column, sample: int = SAMPLE, each: int = SAMPLE_EACH) -> np.ndarray:
+    cleaned, labels = labelled_sentences(df, text, label, sample, each)
     return fit(cleaned, labels)
 
 

@@ -26,6 +26,9 @@ from quayside.session import table
 
 BANDS = ("easy", "middle", "demanding")
 #: Bound of the labelled sample, by hash of the id; words of the vocabulary at most; smoothing; least known share.
+#: Then the labelled sample that languages are fitted to, in all and of each language: whole documents are told apart by
+#: fewer texts than single sentences.
+LANGUAGE_SAMPLE = 1500, 200
 SAMPLE, VOCABULARY, ALPHA, KNOWN, LEAST_WORDS = 6000, 60_000, 0.5, 0.4, 12
 
 _NOISE = re.compile(
@@ -106,7 +109,7 @@ def grade(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = labels.select(key, "band").join(df.select(key, F.col(text).alias("t")), key).orderBy(order, key).limit(sample).select("t", "band").collect()
     fitted = fit_levels([(r["t"], r["band"]) for r in rows])
     # At most VOCABULARY words, and a table of fixed size.
-    model = df.sparkSession.sparkContext.broadcast((*fitted, language_model(df, text, named_language(F.col(lang)))))
+    model = df.sparkSession.sparkContext.broadcast((*fitted, language_model(df, text, named_language(F.col(lang)), *LANGUAGE_SAMPLE)))
 
     def run(texts: pd.Series) -> pd.DataFrame:
         index, like, prior, weights = model.value
