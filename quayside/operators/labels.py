@@ -39,8 +39,10 @@ def relevance(df: DataFrame, text: str = "text", source: str | None = None, titl
     outside is unrelated whatever stands in it.
     """
     helps = F.col(source) == "help_community" if source else F.lit(False)
-    named = X.help_title(F.col(title)) if title else F.lit("")
-    out = df.withColumns({"_r_title": F.when(helps, named), "_r_text": F.when(helps, X.strip_chrome(F.col(text), F.col(title) if title else F.lit(None).cast("string"))).otherwise(F.col(text)) if source else F.col(text)})
+    named = X.help_title(F.when(helps, F.col(title))) if title else F.lit("")
+    # Only help pages reach the functions that clean them.
+    page = X.strip_chrome(F.when(helps, F.col(text)), F.when(helps, F.col(title)) if title else F.lit(None).cast("string"))
+    out = df.withColumns({"_r_title": F.when(helps, named), "_r_text": F.when(helps, page).otherwise(F.col(text)) if source else F.col(text)})
     body, named = Hits("_r_text", "_r_hits"), Hits("_r_title", "_t_hits")
     flags = _flags(body, "_r_")
     out = body.add(out, flags)
